@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import bagminhash, repetition
+from vellum.llm import bagminhash, fmindex, repetition
 from vellum.llm.common import read, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,7 +23,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bagminhash.deduplicate(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more are left at their first place only; n_chars follows the text."""
+    kept = fmindex.remove(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
 #: Byte-level BPE and the edit distances have no SQL equivalent.
 ORACLE_SQL = None
 
