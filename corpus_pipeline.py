@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bagminhash, fmindex, repetition
+from vellum.llm import bagminhash, decontam, fmindex, repetition
 from vellum.llm.common import read, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,7 +29,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, within its edit budget, go."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination)]
 #: Byte-level BPE and the edit distances have no SQL equivalent.
 ORACLE_SQL = None
 
