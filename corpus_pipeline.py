@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bagminhash, decontam, fmindex, repetition
+from vellum.llm import bagminhash, bpe, decontam, fmindex, repetition
 from vellum.llm.common import read, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,7 +34,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination)]
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and whether they decode to its text."""
+    return bpe.encode(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
+]
 #: Byte-level BPE and the edit distances have no SQL equivalent.
 ORACLE_SQL = None
 

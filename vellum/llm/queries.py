@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, fmindex, repetition
+from . import bagminhash, bpe, decontam, fmindex, repetition
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -29,7 +33,7 @@ def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_repetition, op5_bagminhash, op7_decontamination, op8_fm_substring)}
+    return {f.__name__: f for f in (op3_repetition, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
