@@ -7,9 +7,10 @@ document or in the same.
 To search every document against every shard would cost the square of the corpus, so documents are only streamed where
 a match can be. K-grams are winnowed: of any ``MIN_WORDS`` words the least k-gram hash is picked, so two equal passages
 pick the same. Only hashes that are picked twice in the corpus matter. Around them a text is cut into regions; outside of
-regions nothing repeats. A region is indexed once, in the shard of its least shared hash (where more regions than a
-shard holds have it, these are spread over several), and streamed to each shard in which one of its hashes occurs.
-Equal regions are indexed and searched once. The work then follows the repeated text, not the square of the corpus.
+regions nothing repeats. Equal regions are indexed and searched once. A region is indexed in the shard of its least
+shared hash (where more regions than a shard holds have it, these are spread over several), and streamed through that
+shard; only what of it has no match there goes on to the other shards in which one of its hashes occurs. The work then
+follows the repeated text, not the square of the corpus.
 
 In a shard the index is a suffix array by prefix doubling, the Burrows-Wheeler transform in a wavelet matrix of packed
 bits with rank counts, and the LCP array with its nearest smaller values. All regions go through it in lock-step: a
@@ -23,6 +24,7 @@ left after a cut, and passes other columns on, whatever their names. Empty table
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -319,59 +321,190 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def search(table: pa.Table, length: int, earlier: bool) -> pa.Table:
-    """One shard: rows (shard, home, doc_id, at, text, k1, k2); home rows are indexed, all rows are streamed."""
-    home = table.column("home").to_numpy(zero_copy_only=False)
-    doc = table.column("doc_id").to_numpy(zero_copy_only=False)
-    place = table.column("at").to_numpy(zero_copy_only=False)
-    order = np.lexsort((place, doc))
-    table = table.take(pa.array(order))
-    home, doc, place = home[order], doc[order], place[order]
-    off, raw = utf8_buffers(table.column("text"))
-    w = Words(off, raw)
-    cb = chars_before(raw)
-    own = np.flatnonzero(home)
-    mine = home[w.doc]
-    values = np.unique(w.hash[mine])
-    at = np.minimum(np.searchsorted(values, w.hash), max(len(values) - 1, 0))
-    ids = np.where(values[at] == w.hash, at + 1, 0) if len(values) else np.zeros(len(w), np.int64)
-    index = FMIndex([ids[w.first[i] : w.first[i + 1]] for i in own], len(values))
-    slot = np.zeros(len(doc), np.int64)
-    slot[own] = index.starts
-    # Streams of other shards stand where the next indexed region in order begins.
-    foreign = np.flatnonzero(~home)
-    nxt = np.searchsorted(own, foreign)
-    slot[foreign] = np.where(nxt < len(own), index.starts[np.minimum(nxt, max(len(own) - 1, 0))], index.n)
-    streams, of, shift = [], [], []
-    for i in range(len(doc)):
-        a, b = int(w.first[i]), int(w.first[i + 1])
-        step = a
-        while True:
-            streams.append(ids[step : min(step + CHUNK + length, b)])
-            of.append(i)
-            shift.append(step - a)
-            step += CHUNK
-            if step + length > b:
-                break
-    of_, shift_ = np.array(of, np.int64), np.array(shift, np.int64)
-    count = np.where(home, 2, 1)[of_]
-    moves = home[of_].astype(np.int64)
-    before = slot[of_] + moves * shift_ if earlier else None
-    rows: dict[int, tuple[list, list]] = {}
-    for who, a, b in index.matches(streams, count, before, moves, length):
-        for i, x, y in zip(of_[who].tolist(), (a + shift_[who]).tolist(), (b + shift_[who]).tolist()):
-            r = rows.setdefault(i, ([], []))
-            r[0].append(x)
-            r[1].append(y)
-    who, starts, ends = [], [], []
-    for i, (xs, ys) in rows.items():
-        f = int(w.first[i])
-        for x, y in _merged(np.array(xs), np.array(ys)):
-            who.append(i)
-            starts.append(int(cb[w.start[f + x]] - cb[off[i]]))
-            ends.append(int(cb[w.end[f + y - 1]] - cb[off[i]]))
-    hit = table.take(pa.array(np.array(who, np.int64)))
-    return pa.table({"k1": hit.column("k1"), "k2": hit.column("k2"), "from": pa.array(starts, pa.int64()), "to": pa.array(ends, pa.int64())})
+class Shard:
+    """The index of a shard's regions, given as rows of (doc_id, at, text, k1, k2)."""
+
+    def __init__(self, table: pa.Table, length: int, gram: int, earlier: bool):
+        self.length, self.gram, self.earlier = length, gram, earlier
+        doc = table.column("doc_id").to_numpy(zero_copy_only=False)
+        place = table.column("at").to_numpy(zero_copy_only=False)
+        order = np.lexsort((place, doc))
+        self.table = table.take(pa.array(order))
+        self.places = list(zip(doc[order].tolist(), place[order].tolist()))
+        self.off, self.raw = utf8_buffers(self.table.column("text"))
+        self.w = w = Words(self.off, self.raw)
+        self.values = np.unique(w.hash)
+        self.ids = np.searchsorted(self.values, w.hash) + 1
+        self.index = FMIndex([self.ids[a:b] for a, b in zip(w.first.tolist(), w.first[1:].tolist())], len(self.values))
+
+    def _found(self, w: Words, ids: np.ndarray, count: int, slot: np.ndarray | None, moves: int) -> dict[int, list[tuple[int, int]]]:
+        """Word intervals of each text that match."""
+        streams, of, shift = [], [], []
+        for i, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist())):
+            for step in range(a, max(b - self.length, a) + 1, CHUNK):
+                streams.append(ids[step : min(step + CHUNK + self.length, b)])
+                of.append(i)
+                shift.append(step - a)
+        of_, shift_ = np.array(of, np.int64), np.array(shift, np.int64)
+        n = len(streams)
+        before = None if slot is None else slot[of_] + moves * shift_
+        rows: dict[int, tuple[list, list]] = {}
+        for who, a, b in self.index.matches(streams, np.full(n, count), before, np.full(n, moves), self.length):
+            for i, x, y in zip(of_[who].tolist(), (a + shift_[who]).tolist(), (b + shift_[who]).tolist()):
+                r = rows.setdefault(i, ([], []))
+                r[0].append(x)
+                r[1].append(y)
+        return {i: _merged(np.array(xs), np.array(ys)) for i, (xs, ys) in rows.items()}
+
+    def own(self) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """(matches of the indexed regions, what of them isn't matched yet and may match in another shard)."""
+        w, length = self.w, self.length
+        slot = self.index.starts if self.earlier else None
+        found = self._found(w, self.ids, 2, slot, 1)
+        cb = chars_before(self.raw)
+        hit, starts, ends, left, l_at, l_text = [], [], [], [], [], []
+        data = self.raw.tobytes()
+        for i, (f, e) in enumerate(zip(w.first.tolist(), w.first[1:].tolist())):
+            spans = found.get(i, [])
+            base = int(cb[self.off[i]])
+            for x, y in spans:
+                hit.append(i)
+                starts.append(int(cb[w.start[f + x]]) - base)
+                ends.append(int(cb[w.end[f + y - 1]]) - base)
+            size, last = e - f, 0
+            gaps: list[tuple[int, int]] = []
+            for x, y in [*spans, (size, size)]:
+                if x > last:
+                    a, b = max(0, last - length + 1), min(size, x + length - 1)
+                    if gaps and a <= gaps[-1][1]:
+                        gaps[-1] = (gaps[-1][0], b)
+                    else:
+                        gaps.append((a, b))
+                last = y
+            for a, b in gaps:
+                if b - a >= length:
+                    x, y = int(w.start[f + a]), int(w.end[f + b - 1])
+                    left.append(i)
+                    l_at.append(int(cb[x]) - base)
+                    l_text.append(data[x:y])
+        texts = pa.array(l_text, pa.binary()).cast(pa.string())
+        sub = Words(*utf8_buffers(texts))
+        at, h = anchors(sub, length, self.gram)
+        owner = sub.doc[at] if len(at) else at
+        bounds = np.searchsorted(owner, np.arange(len(left) + 1)).astype(np.int32)
+        hashes = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h.view(np.int64)))
+        t, l = self.table.take(pa.array(hit, pa.int64())), self.table.take(pa.array(left, pa.int64()))
+        matched = _span_rows(t, np.array(starts, np.int64), np.array(ends, np.int64))
+        rest = [l.column(c).combine_chunks() for c in ("doc_id", "at", "k1", "k2")]
+        return matched, pa.RecordBatch.from_arrays([*rest, pa.array(l_at, pa.int64()), texts, hashes], names=["doc_id", "at", "k1", "k2", "skip", "text", "hashes"])
+
+    def others(self, table: pa.Table) -> pa.RecordBatch:
+        """Matches of rows (doc_id, at, skip, text, k1, k2) of other shards."""
+        off, raw = utf8_buffers(table.column("text"))
+        w = Words(off, raw)
+        cb = chars_before(raw)
+        at = np.minimum(np.searchsorted(self.values, w.hash), len(self.values) - 1)
+        ids = np.where(self.values[at] == w.hash, at + 1, 0)
+        slot = None
+        if self.earlier:
+            # What lies before the region in (doc_id, place) order is indexed before the next region.
+            starts = np.append(self.index.starts, self.index.n)
+            rank = [bisect_left(self.places, p) for p in zip(table.column("doc_id").to_pylist(), table.column("at").to_pylist())]
+            slot = starts[np.array(rank, np.int64)]
+        hit, starts_, ends = [], [], []
+        skip = table.column("skip").to_pylist()
+        for i, spans in self._found(w, ids, 1, slot, 0).items():
+            f, base = int(w.first[i]), int(cb[off[i]])
+            for x, y in spans:
+                hit.append(i)
+                starts_.append(int(cb[w.start[f + x]]) - base + skip[i])
+                ends.append(int(cb[w.end[f + y - 1]]) - base + skip[i])
+        return _span_rows(table.take(pa.array(hit, pa.int64())), np.array(starts_, np.int64), np.array(ends, np.int64))
+
+
+def _span_rows(t: pa.Table, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    keys = [t.column(c).combine_chunks() for c in ("k1", "k2")]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(start), pa.array(end)], names=["k1", "k2", "from", "to"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[pa.RecordBatch]]]:
+    """Rows sorted by (shard, home first), in runs: a shard's home rows all at once, its other rows batch by batch."""
+    held: list[pa.RecordBatch] = []
+    shard = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        s, home = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (home[1:] != home[:-1])) + 1).tolist(), b.num_rows]
+        for x, y in zip(cuts, cuts[1:]):
+            part = b.slice(x, y - x)
+            if home[x]:
+                if shard is not None and s[x] != shard:
+                    yield shard, True, held
+                    held = []
+                shard = s[x]
+                held.append(part)
+            else:
+                if held:
+                    yield shard, True, held
+                    held, shard = [], None
+                yield s[x], False, [part]
+    if held:
+        yield shard, True, held
+
+
+def _own_pass(length: int, gram: int, earlier: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, _, parts in _runs(batches):
+            matched, left = Shard(pa.Table.from_batches(parts), length, gram, earlier).own()
+            n, m = matched.num_rows, left.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, shard, np.int64)),
+                    pa.nulls(n, pa.int64()),
+                    pa.nulls(n, pa.int64()),
+                    *(matched.column(k) for k in range(4)),
+                    pa.nulls(n, pa.int64()),
+                    pa.nulls(n, pa.string()),
+                    pa.nulls(n, pa.list_(pa.int64())),
+                ],
+                names=_OWN,
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(m, shard, np.int64)),
+                    left.column("doc_id"),
+                    left.column("at"),
+                    left.column("k1"),
+                    left.column("k2"),
+                    pa.nulls(m, pa.int64()),
+                    pa.nulls(m, pa.int64()),
+                    left.column("skip"),
+                    left.column("text"),
+                    left.column("hashes"),
+                ],
+                names=_OWN,
+            )
+
+    return run
+
+
+_OWN = ["shard", "doc_id", "at", "k1", "k2", "from", "to", "skip", "text", "hashes"]
+
+
+def _other_pass(length: int, gram: int, earlier: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for shard, home, parts in _runs(batches):
+            table = pa.Table.from_batches(parts)
+            if home:
+                held = (shard, Shard(table, length, gram, earlier))
+            elif held is not None and held[0] == shard:
+                for b in table.to_batches():
+                    for part in slices(b, b.schema.get_field_index("text"), limit=1 << 20):
+                        yield held[1].others(pa.Table.from_batches([part]))
+
+    return run
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------
@@ -393,16 +526,25 @@ def _intervals(docs: DataFrame, earlier: bool, length: int, gram: int) -> DataFr
     unique = unique.withColumn("part", F.pmod("k1", F.ceil(load / SHARD_WORDS))).withColumn("shard", F.xxhash64("least", "part")).drop("least", "part")
     unique = saved(unique, spark)
     total = unique.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    unique = unique.withColumn("shard", F.pmod("shard", F.lit(max(1, -(-total // SHARD_WORDS)))))
-    held = unique.select("k1", "k2", "shard", F.explode("hashes").alias("h"))
-    homes = held.select("h", F.col("shard").alias("to")).distinct()
-    visits = held.join(homes, "h").filter("`to` <> shard").select("k1", "k2", "to").distinct()
-    # Whole regions that occur more than once need no search, unless the first of them is asked for.
-    todo = unique if earlier else unique.filter("copies = 1")
-    row = ["doc_id", "at", "text", "k1", "k2"]
-    flat = unique.select("shard", F.lit(True).alias("home"), F.col("p.doc_id").alias("doc_id"), F.col("p.at").alias("at"), "text", "k1", "k2")
-    away = todo.join(visits, ["k1", "k2"]).select(F.col("to").alias("shard"), F.lit(False).alias("home"), F.col("p.doc_id").alias("doc_id"), F.col("p.at").alias("at"), "text", "k1", "k2")
-    found = flat.unionByName(away).groupBy("shard").applyInArrow(lambda t: search(t, length, earlier), "k1 long, k2 long, `from` long, `to` long")
+    n_shards = max(1, -(-2 * total // SHARD_WORDS))
+    unique = unique.withColumn("shard", F.pmod("shard", F.lit(n_shards)))
+    indexed = unique.select("shard", F.lit(True).alias("home"), F.col("p.doc_id").alias("doc_id"), F.col("p.at").alias("at"), "k1", "k2", F.lit(0).cast("long").alias("skip"), "text")
+    by_shard = indexed.repartition(n_shards, "shard").sortWithinPartitions("shard")
+    own_rows = saved(by_shard.mapInArrow(_own_pass(length, gram, earlier), "shard long, doc_id long, at long, k1 long, k2 long, `from` long, `to` long, skip long, text string, hashes array<long>"), spark)
+    found = own_rows.filter("text is null").select("k1", "k2", "from", "to")
+    # What has no match in its own shard goes on to the other shards in which one of its hashes occurs; regions that
+    # occur more than once need that only where their first place matters.
+    left = own_rows.filter("text is not null")
+    if not earlier:
+        left = left.join(unique.filter("copies > 1").select("k1", "k2"), ["k1", "k2"], "left_anti")
+    homes = unique.select(F.explode("hashes").alias("h"), F.col("shard").alias("to_shard")).distinct()
+    part_of = ["k1", "k2", "skip"]
+    visits = left.select(*part_of, "shard", F.explode("hashes").alias("h")).join(homes, "h").filter("to_shard <> shard").select(*part_of, "to_shard").distinct()
+    visits = saved(visits, spark)
+    away = left.drop("shard").join(visits, part_of).select(F.col("to_shard").alias("shard"), F.lit(False).alias("home"), "doc_id", "at", "k1", "k2", "skip", "text")
+    again = indexed.join(visits.select(F.col("to_shard").alias("shard")).distinct(), "shard", "left_semi").select(*away.columns)
+    met = again.unionByName(away).repartition(n_shards, "shard").sortWithinPartitions("shard", F.desc("home"))
+    found = found.unionByName(met.mapInArrow(_other_pass(length, gram, earlier), "k1 long, k2 long, `from` long, `to` long"))
     own = regions.select("doc_id", "at", "chars", "k1", "k2", "words")
     copies = unique.select("k1", "k2", "copies", "p")
     whole = own.join(copies, ["k1", "k2"]).filter("copies > 1 and words >= " + str(length))
