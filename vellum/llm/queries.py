@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, decontam, fmindex, repetition
+from . import bagminhash, bpe, decontam, fmindex, repetition, seekable, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.annotate(read(spark, sf_dir, "documents")).filter("keep")
 
@@ -32,8 +36,12 @@ def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.repeats(read(spark, sf_dir, "documents"))
 
 
+def op10_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seekable.write_shared(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_repetition, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring)}
+    return {f.__name__: f for f in (op2_toxicity, op3_repetition, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring, op10_seekable_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
