@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, decontam, fmindex, repetition, seekable, toxicity
+from . import bagminhash, bpe, decontam, fmindex, langid, repetition, seekable, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.annotate(read(spark, sf_dir, "documents")).filter("keep")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.detect(read(spark, sf_dir, "documents"))
+
+
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_repetition, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring, op10_seekable_tokens)}
+    return {f.__name__: f for f in (op2_toxicity, op3_repetition, op4_language_id, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring, op10_seekable_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
