@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, decontam, fmindex, langid, repetition, seekable, toxicity
+from . import bagminhash, bpe, chat, decontam, fmindex, langid, repetition, seekable, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.pairs_of(read(spark, sf_dir, "conversations")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -45,8 +49,8 @@ def op10_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_toxicity, op3_repetition, op4_language_id, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring, op10_seekable_tokens)}
+    return {f.__name__: f for f in (op1_chat_preferences, op2_toxicity, op3_repetition, op4_language_id, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring, op10_seekable_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_preferences": chat.SQL}
