@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, chat, decontam, fmindex, langid, repetition, seekable, toxicity
+from . import bagminhash, bpe, chat, decontam, fmindex, langid, ngramlm, repetition, seekable, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,16 @@ def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.repeats(read(spark, sf_dir, "documents"))
 
 
+def op9_unbounded_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.scores(read(spark, sf_dir, "documents"))
+
+
 def op10_seekable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.write_shared(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_preferences, op2_toxicity, op3_repetition, op4_language_id, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring, op10_seekable_tokens)}
+    return {f.__name__: f for f in (op1_chat_preferences, op2_toxicity, op3_repetition, op4_language_id, op5_bagminhash, op6_byte_bpe, op7_decontamination, op8_fm_substring, op9_unbounded_lm, op10_seekable_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
