@@ -37,8 +37,8 @@ from .common import U, Words, chars_before, doc_rows, index_of, mix, positional,
 MIN_WORDS = 50
 GRAM = 16
 #: Words that one shard's index holds at about most; streams are cut to runs of CHUNK words, overlapping by MIN_WORDS.
-SHARD_WORDS = 1 << 17
-CHUNK = 512
+SHARD_WORDS = 1 << 18
+CHUNK = 192
 _B = U(0xA24BAED4963EE407)
 _MAX = U(2**64 - 1)
 
