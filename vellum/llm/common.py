@@ -94,19 +94,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_POW = np.ones(1, np.uint64)
 _BASE = 0x9E3779B97F4A7C55 | 1
+_POW: dict[int, np.ndarray] = {}
+#: Batches of up to so many bytes are hashed by differences of one running sum; it takes tables of 16 bytes for each.
+_TABLE = 1 << 22
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the hash base modulo 2**64."""
-    global _POW
-    if len(_POW) < n:
-        size = max(n, 256)
-        p = np.full(size, _BASE, np.uint64)
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """The first n powers of the hash base (or its inverse) modulo 2**64."""
+    held = _POW.get(base)
+    if held is None or len(held) < n:
+        p = np.full(max(n, 256), base, np.uint64)
         p[0] = 1
-        _POW = np.multiply.accumulate(p)
-    return _POW[:n]
+        held = _POW[base] = np.multiply.accumulate(p)
+    return held[:n]
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return powers(n, pow(_BASE, -1, 1 << 64))
 
 
 _SPACE = np.zeros(256, bool)
@@ -138,7 +143,12 @@ class Words:
         self.end = np.flatnonzero(word & (after | edge[1:])) + 1
         self.doc = np.searchsorted(off, self.start, side="right") - 1
         self.first = np.searchsorted(self.start, off, side="left")
-        if len(self.start):
+        if len(self.start) and n <= _TABLE:
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[raw] * powers(n), out=total[1:])
+            part = (total[self.end] - total[self.start]) * inverse_powers(n)[self.start]
+            self.hash = mix(part + (self.end - self.start).astype(np.uint64))
+        elif len(self.start):
             at = np.flatnonzero(word)
             length = self.end - self.start
             cum = np.concatenate(([0], np.cumsum(length)))
