@@ -141,8 +141,8 @@ class Words:
         after[:-1] = space[1:]
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(word & (after | edge[1:])) + 1
-        self.doc = np.searchsorted(off, self.start, side="right") - 1
         self.first = np.searchsorted(self.start, off, side="left")
+        self.doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
         if len(self.start) and n <= _TABLE:
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[raw] * powers(n), out=total[1:])
