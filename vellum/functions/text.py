@@ -177,29 +177,39 @@ def postings(df: DataFrame, key: str, field: str, stem=suffix_stem) -> DataFrame
     return words.groupBy("key", stem(F.col("word")).alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def _is(word: str):
-    return lambda t: t == word
+def stem_word(word: str) -> str:
+    """``suffix_stem`` of a plain word."""
+    for suffix, replacement, longer in SUFFIX_RULES:
+        if len(word.encode()) > longer and word.endswith(suffix):
+            return word[: -len(suffix)] + replacement
+    return word
+
+
+def words_of_stem(stem: str) -> list[str]:
+    """All words whose stem this is: one for each rule at most, and the stem itself."""
+    made = [stem, *(stem[: len(stem) - len(r)] + suffix for suffix, r, _ in SUFFIX_RULES if stem.endswith(r))]
+    return [w for w in dict.fromkeys(made) if stem_word(w) == stem]
+
+
+def _is(words: list[str]):
+    return lambda t: t.isin(*words)
 
 
 def search(df: DataFrame, key: str, field: str, query: str, limit: int | None = None) -> DataFrame:
     """(key, score) by falling score: the sum of tf (ln(N / df) + 1) over the query's words, each as often as it is there."""
     import re
 
-    def stem(word: str) -> str:
-        for suffix, replacement, longer in SUFFIX_RULES:
-            if len(word.encode()) > longer and word.endswith(suffix):
-                return word[: -len(suffix)] + replacement
-        return word
-
     wanted: dict[str, int] = {}
     for w in re.findall(r"[^\W_]+", query.lower()):
-        wanted[stem(w)] = wanted.get(stem(w), 0) + 1
+        wanted[stem_word(w)] = wanted.get(stem_word(w), 0) + 1
+    wanted = {w: n for w, n in wanted.items() if words_of_stem(w)}
     if not wanted:
         return df.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
     # Only the wanted terms are counted, in one pass: every row gives at most one count for each.
-    stems = F.transform(tokens(F.col(field)), suffix_stem)
-    rows = df.select(F.col(key), stems.alias("stems"))
-    counts = rows.select(key, *(F.size(F.filter("stems", _is(w))).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    # A stem comes from few words, so that these are looked for and no text is stemmed.
+    every = sorted({x for w in wanted for x in words_of_stem(w)})
+    rows = df.select(F.col(key), F.filter(tokens(F.col(field)), _is(every)).alias("stems"))
+    counts = rows.select(key, *(F.size(F.filter("stems", _is(words_of_stem(w)))).alias(f"tf{i}") for i, w in enumerate(wanted)))
     totals = counts.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
     joined = counts.crossJoin(F.broadcast(totals))  # one row
     parts = [F.when(F.col(f"tf{i}") > 0, F.col(f"tf{i}") * (F.log(F.col("n") / F.col(f"df{i}")) + 1) * m).otherwise(0.0) for i, m in enumerate(wanted.values())]
