@@ -191,8 +191,8 @@ def words_of_stem(stem: str) -> list[str]:
     return [w for w in dict.fromkeys(made) if stem_word(w) == stem]
 
 
-def _is(words: list[str]):
-    return lambda t: t.isin(*words)
+def _whole_words(words: list[str]) -> str:
+    return "(?<![\\p{L}\\p{N}])(?:" + "|".join(words) + ")(?![\\p{L}\\p{N}])"
 
 
 def search(df: DataFrame, key: str, field: str, query: str, limit: int | None = None) -> DataFrame:
@@ -205,11 +205,9 @@ def search(df: DataFrame, key: str, field: str, query: str, limit: int | None =
     wanted = {w: n for w, n in wanted.items() if words_of_stem(w)}
     if not wanted:
         return df.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
-    # Only the wanted terms are counted, in one pass: every row gives at most one count for each.
-    # A stem comes from few words, so that these are looked for and no text is stemmed.
-    every = sorted({x for w in wanted for x in words_of_stem(w)})
-    rows = df.select(F.col(key), F.filter(tokens(F.col(field)), _is(every)).alias("stems"))
-    counts = rows.select(key, *(F.size(F.filter("stems", _is(words_of_stem(w)))).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    # A stem comes from few words, so that these are counted in the text, and no text is cut into words.
+    lower = F.lower(F.col(field))
+    counts = df.select(F.col(key), *(F.regexp_count(lower, F.lit(_whole_words(words_of_stem(w)))).alias(f"tf{i}") for i, w in enumerate(wanted)))
     totals = counts.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
     joined = counts.crossJoin(F.broadcast(totals))  # one row
     parts = [F.when(F.col(f"tf{i}") > 0, F.col(f"tf{i}") * (F.log(F.col("n") / F.col(f"df{i}")) + 1) * m).otherwise(0.0) for i, m in enumerate(wanted.values())]
