@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tests.conftest import values
 from vellum.engine import Engine
 from vellum.errors import DuplicateKeyError, SpecError
@@ -118,6 +119,13 @@ def test_gridfs(spark):
     assert bytes(gridfs.read_range(chunks, "a", 3, 4, 4).first()[0]) == b"3456"
 
 
+def test_gridfs_chunks_take_every_page(spark, tmp_path):
+    pages = [(1, "plain " * 400), (2, "é日本🙂" * 500), (3, ""), (4, "a" * 1023 + "é"), (5, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = [(k, n, html.encode()[n * 1024 : (n + 1) * 1024].hex().upper()) for k, html in pages for n in range(-(-len((html or "").encode()) // 1024))]
+    assert values(__spark_entry__.queries()["gridfs_chunks_bytes"](spark, str(tmp_path)), "files_id", "n", "data") == want and len(want) == 11
+
+
 def test_text(spark):
     df = spark.createDataFrame([("1", "java java java"), ("2", "java code quick"), ("3", "other")], "id string, content string")
     got = text.search(df, "id", "content", "java").collect()

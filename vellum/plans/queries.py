@@ -385,6 +385,10 @@ query("windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, even
 query("gridfs_chunks", "SELECT page_id AS files_id, CAST(n AS INTEGER) AS n, substring(html, CAST(n AS BIGINT) * 1024 + 1, 1024) AS data FROM (SELECT page_id, html, unnest(range(0, CAST(ceil(length(html) / 1024.0) AS BIGINT))) AS n FROM pages WHERE strlen(html) = length(html))")(
     lambda s, d: gridfs.split(read(s, d, "pages").filter("octet_length(html) = length(html)"), "page_id", "html", 1024)[1].withColumn("data", F.col("data").cast("string"))
 )
+# Chunks are cut at bytes, so they are compared as hex; this takes every page, where gridfs_chunks and its SQL take pure ASCII only.
+query("gridfs_chunks_bytes", "SELECT page_id AS files_id, CAST(n AS INTEGER) AS n, substring(h, CAST(n AS BIGINT) * 2048 + 1, 2048) AS data FROM (SELECT page_id, h, unnest(range(0, CAST(ceil(length(h) / 2048.0) AS BIGINT))) AS n FROM (SELECT page_id, hex(encode(html)) AS h FROM pages))")(
+    lambda s, d: gridfs.split(read(s, d, "pages"), "page_id", "html", 1024)[1].withColumn("data", F.hex("data"))
+)
 query("gridfs_files", "SELECT page_id AS filename, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5 FROM pages")(lambda s, d: gridfs.split(read(s, d, "pages"), "page_id", "html")[0].select("filename", "length", "md5"))
 query("gridfs_round_trip", "SELECT page_id AS filename, true AS complete FROM pages")(lambda s, d: gridfs.join(*gridfs.split(read(s, d, "pages"), "page_id", "html", 777)).select("filename", "complete"))
 query("variant_compare", "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90")(lambda s, d: variant.parse(read(s, d, "events"), "props").filter(variant.compare(F.col("doc"), "k", "$gt", 90)).select("event_id"))
