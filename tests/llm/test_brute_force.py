@@ -229,6 +229,36 @@ def test_language_model(spark, texts):
     assert longest > 50
 
 
+def test_language_model_without_hot_set(spark, texts, tmp_path):
+    rng = random.Random(7)
+    rows = [*enumerate(texts[:60]), (60, "w1 " + texts[2]), (61, texts[0])]
+    # Behind a frequent word, at the beginning and after words that no other document has.
+    rows += [(70 + i, " ".join(f"{rng.choice(['the', f'rare{i}x{j} the'])} w{rng.randrange(300)}" for j in range(rng.randint(1, 40)))) for i in [*range(30), *range(9)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    _, hot, distinct = ngramlm.survey(doc_rows(df))
+    assert int(ngramlm.words_of(pa.array(["the"])).hash[0]) % ngramlm.BUCKETS in hot
+    base = ngramlm.FLOOR / distinct
+    words = [(d, t.split()) for d, t in rows]
+    places = collections.defaultdict(list)
+    for r, (_, ws) in enumerate(words):
+        for i in range(1, len(ws)):
+            places[ws[i - 1]].append((r, i))
+    total, matched = collections.Counter(), collections.Counter()
+    for d, ws in words:
+        for i in range(1, len(ws)):
+            same, best, k = [(r, j) for r, j in places[ws[i - 1]] if words[r][0] != d], [], 1
+            while same:
+                best, k = same, k + 1
+                same = [(r, j) for r, j in same if i >= k and j >= k and words[r][1][j - k] == ws[i - k]]
+            matched[d] += bool(best)
+            total[d] += math.log((1 - ngramlm.FLOOR) * (sum(words[r][1][j] == ws[i] for r, j in best) / len(best) if best else 0) + base)
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()["op9_unbounded_lm"](spark, str(tmp_path)).collect()}
+    assert set(got) == {d for d, _ in rows} and {d: r["matched"] for d, r in got.items()} == {d: matched[d] for d in got}
+    assert all(r["logprob"] == pytest.approx(total[d], rel=1e-5) for d, r in got.items())
+    assert ngramlm.scores(df.limit(0), back=True).collect() == []
+
+
 def test_language_id(spark):
     vocabulary = ["▁a", "▁", "a", "b", "ab", "▁ab", "ba"]
     m = langid.fit({"x": {"ab": 3, "aba": 2}, "y": {"bb": 4, "bab": 1}}, vocabulary)
