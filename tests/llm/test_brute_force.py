@@ -252,7 +252,8 @@ def test_language_model_without_hot_set(spark, texts, tmp_path):
                 best, k = same, k + 1
                 same = [(r, j) for r, j in same if i >= k and j >= k and words[r][1][j - k] == ws[i - k]]
             matched[d] += bool(best)
-            total[d] += math.log((1 - ngramlm.FLOOR) * (sum(words[r][1][j] == ws[i] for r, j in best) / len(best) if best else 0) + base)
+            others = [w for e, t in words if e != d for w in t]
+            total[d] += math.log((1 - ngramlm.FLOOR) * (sum(words[r][1][j] == ws[i] for r, j in best) / len(best) if best else others.count(ws[i]) / len(others)) + base)
     got = {r["doc_id"]: r for r in __spark_entry__.queries()["op9_unbounded_lm"](spark, str(tmp_path)).collect()}
     assert set(got) == {d for d, _ in rows} and {d: r["matched"] for d, r in got.items()} == {d: matched[d] for d in got}
     assert all(r["logprob"] == pytest.approx(total[d], rel=1e-5) for d, r in got.items())
