@@ -186,6 +186,23 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in decontam.clean(df, bench).collect()} == set(range(60)) - {d for d, _, _ in want}
 
 
+def test_decontamination_of_short_items(spark, tmp_path):
+    items = ["short", "Yes", "what is  it?", "é", "a", "(a)", "", " ", "x" * 39, "x" * 40, "of a", "of a", "zzz", None]
+    docs = ["Plain words of a SHORT text", "shorter yesterday", "yes: What\nis it?", "né É", "(A) or of aa", "", None, "x" * 39, "x" * 40, "a", "it? what is", "zz z", "short"]
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    norm = lambda t: " ".join((t or "").lower().split())
+
+    def held(p, t):
+        ends = [k for k in range(len(t) + 1) if not (0 < k < len(t) and t[k - 1].isalnum() and t[k].isalnum())]
+        return any(t.startswith(p, k) and k + len(p) in ends for k in ends)
+
+    want = {(d, n, 0) for d, t in enumerate(docs) for n, i in enumerate(items) if (p := norm(i)) and held(p, norm(t))}
+    got = {tuple(r) for r in __spark_entry__.queries()["op7_decontamination"](spark, str(tmp_path)).collect()}
+    # The item of 40 bytes has a budget: the text of 39 is one edit away.
+    assert got == want | {(7, 9, 1)} and len(want) > 12
+
+
 def test_bpe(spark, texts):
     ranks = bpe.load()
     real = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -11,7 +11,8 @@ Items are broadcast to the tasks as long as they hold at most ``BROADCAST_BYTES`
 many passes over the texts, so that what a task holds doesn't grow with it.
 
 Texts and items are compared as UTF-8 in lower case, with runs of white space as one space. Defined results: items that
-are null or shorter than ``MIN_BYTES`` after that have too little to find and match nothing; null and empty texts match
+are null or empty match nothing; those shorter than ``MIN_BYTES`` after that match without edits and between word boundaries
+in ``matches`` with ``short``, as the query has it, else nothing, as in ``clean``; null and empty texts match
 nothing; rows without an id are never reported, but ``clean`` drops them if their text matches; repeated rows and repeated
 items give one pair; columns of any name pass through ``clean``; empty tables give empty results.
 """
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, doc_rows, index_of, pick, positional, slices, utf8_buffers
+from .common import _BYTE, U, doc_rows, index_of, inverse_powers, pick, positional, powers, slices, utf8_buffers
 
 RATE = 0.1
 MIN_BYTES = 40
@@ -219,14 +220,61 @@ class Matcher:
         return [(d, n, s) for (d, n), s in out.items()]
 
 
-def _passes(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
+_WORD = np.zeros(256, bool)
+_WORD[[i for i in range(256) if i >= 128 or chr(i).isalnum() or i == ord("_")]] = True
+
+
+def _hashes(raw: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * powers(len(raw)), out=total[1:])
+    return total
+
+
+class Exact:
+    """Items found as they are, between word boundaries: by rolling hashes, one pass for each length, then by their bytes."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.items = items
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted({len(t) for _, t in items}):
+            n = np.array([i for i, (_, t) in enumerate(items) if len(t) == size])
+            key = np.array([_hashes(np.frombuffer(items[i][1], np.uint8))[-1] for i in n], np.uint64)
+            order = np.argsort(key, kind="stable")
+            self.by_length[size] = key[order], n[order]
+
+    def find(self, off: np.ndarray, raw: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, 0) of the matches, each pair once."""
+        total, inverse, data = _hashes(raw), inverse_powers(len(raw)), raw.tobytes()
+        edge = np.ones(len(raw) + 1, bool)
+        edge[1:-1] = ~(_WORD[raw[1:]] & _WORD[raw[:-1]])
+        edge[off] = True
+        starts = np.flatnonzero(edge[:-1])
+        ends = off[np.searchsorted(off, starts, side="right")]
+        out: set[tuple[int, int, int]] = set()
+        for size, (key, item) in self.by_length.items():
+            at = starts[starts + size <= ends]
+            at = at[edge[at + size]]
+            h = (total[at + size] - total[at]) * inverse[at]
+            lo, hi = np.searchsorted(key, h, "left"), np.searchsorted(key, h, "right")
+            some = np.flatnonzero(hi > lo)
+            doc = np.searchsorted(off, at[some], side="right") - 1
+            _, first = np.unique(np.stack((doc, lo[some])), axis=1, return_index=True)
+            for i in first.tolist():
+                a = int(at[some[i]])
+                for n in item[lo[some[i]] : hi[some[i]]].tolist():
+                    if data[a : a + size] == self.items[n][1]:
+                        out.add((int(doc[i]), n, 0))
+        return sorted(out)
+
+
+def _passes(benchmark: DataFrame, low: int = MIN_BYTES, below: int | None = None) -> list[list[tuple[int, bytes]]]:
     """The distinct usable items in lists of at most BROADCAST_BYTES each."""
     items = pick(benchmark, item_id="long", text="string").filter("item_id is not null and text is not null").distinct()
     parts: list[list[tuple[int, bytes]]] = [[]]
     size = 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
         text = normal(pa.array([row["text"]]))[0].as_py().encode()
-        if len(text) < MIN_BYTES:
+        if len(text) < low or below is not None and len(text) >= below:
             continue
         if size and size + len(text) > BROADCAST_BYTES:
             parts.append([])
@@ -236,16 +284,22 @@ def _passes(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
     return [p for p in parts if p]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, distance): the items that a document holds within the budget, at their least distance."""
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: bool = False) -> DataFrame:
+    """(doc_id, item_id, distance): the items that a document holds within the budget, at their least distance.
+
+    short: whether items below ``MIN_BYTES`` match too, without edits and between word boundaries.
+    """
     spark = docs.sparkSession
     texts = doc_rows(docs).filter("doc_id is not null and text is not null")
     out = spark.createDataFrame([], "doc_id long, item_id long, distance int")
-    for items in _passes(benchmark):
+    passes = [(items, False) for items in _passes(benchmark)]
+    if short:
+        passes += [(items, True) for items in _passes(benchmark, 1, MIN_BYTES)]
+    for items, exact in passes:
         held = spark.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            m = Matcher(held.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], held=held, exact=exact) -> Iterator[pa.RecordBatch]:
+            m = Exact(held.value) if exact else Matcher(held.value, rate)
             for b in (s for whole in batches for s in slices(whole, 1)):
                 found = m.find(*utf8_buffers(normal(b.column(1))))
                 ids = b.column(0).take(pa.array([d for d, _, _ in found], pa.int64()))

@@ -37,7 +37,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short=True)
 
 
 def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
