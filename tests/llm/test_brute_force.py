@@ -12,7 +12,7 @@ import tiktoken
 import __spark_entry__
 import corpus_pipeline
 from vellum.llm import bagminhash, bpe, decontam, fmindex, langid, ngramlm, repetition, seekable, toxicity
-from vellum.llm.common import doc_rows, utf8_buffers
+from vellum.llm.common import utf8_buffers
 
 SF = "/root/testdata/sf0.001"
 
@@ -218,63 +218,73 @@ def test_bpe(spark, texts):
     assert [back[d] for d in range(len(back))] == [*texts, *odd]
 
 
-def test_language_model(spark, texts):
-    df = frame(spark, texts[:90])
-    _, hot, distinct = ngramlm.survey(doc_rows(df))
-    base = ngramlm.FLOOR / distinct
-    words = {d: t.split() for d, t in enumerate(texts[:90])}
-    vocabulary = {w for ws in words.values() for w in ws}
-    is_hot = {w: int(ngramlm.words_of(pa.array([w])).hash[0]) % ngramlm.BUCKETS in hot for w in vocabulary}
-    places = collections.defaultdict(list)
-    for d, ws in words.items():
-        for i in range(1, len(ws)):
-            places[ws[i - 1]].append((d, i))
-    got, longest = {r["doc_id"]: r for r in ngramlm.scores(df).collect()}, 0
-    for d, ws in words.items():
-        total, matched = 0.0, 0
-        for i in range(1, len(ws)):
-            same = [(e, j) for e, j in places[ws[i - 1]] if e != d]
-            best, k = (None if is_hot[ws[i - 1]] else same or None), 1
-            while same and i - k - 1 >= 0:
-                k += 1
-                same = [(e, j) for e, j in same if j - k >= 0 and words[e][j - k] == ws[i - k]]
-                best = same or best
-                longest = max(longest, k if same else 0)
-            matched += best is not None
-            total += math.log((1 - ngramlm.FLOOR) * (sum(words[e][j] == ws[i] for e, j in best) / len(best) if best else 0) + base)
-        assert got[d]["logprob"] == pytest.approx(total, rel=1e-5) and got[d]["matched"] == matched
-    assert longest > 50
-
-
-def test_language_model_without_hot_set(spark, texts, tmp_path):
-    rng = random.Random(7)
-    rows = [*enumerate(texts[:60]), (60, "w1 " + texts[2]), (61, texts[0])]
-    # Behind a frequent word, at the beginning and after words that no other document has.
-    rows += [(70 + i, " ".join(f"{rng.choice(['the', f'rare{i}x{j} the'])} w{rng.randrange(300)}" for j in range(rng.randint(1, 40)))) for i in [*range(30), *range(9)]]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    df.write.parquet(str(tmp_path / "documents.parquet"))
-    _, hot, distinct = ngramlm.survey(doc_rows(df))
-    assert int(ngramlm.words_of(pa.array(["the"])).hash[0]) % ngramlm.BUCKETS in hot
-    base = ngramlm.FLOOR / distinct
-    words = [(d, t.split()) for d, t in rows]
+def _longest_contexts(rows, asked):
+    """(document, length, N, n) of each word but the first of the asked documents, by walking back through all places."""
+    words = [(d, t.lower().split()) for d, t in rows]
     places = collections.defaultdict(list)
     for r, (_, ws) in enumerate(words):
         for i in range(1, len(ws)):
             places[ws[i - 1]].append((r, i))
-    total, matched = collections.Counter(), collections.Counter()
-    for d, ws in words:
+    out = []
+    for d, ws in ((d, t.lower().split()) for d, t in asked):
         for i in range(1, len(ws)):
-            same, best, k = [(r, j) for r, j in places[ws[i - 1]] if words[r][0] != d], [], 1
+            same, best, length = [(r, j) for r, j in places[ws[i - 1]] if words[r][0] != d], [], 0
             while same:
-                best, k = same, k + 1
-                same = [(r, j) for r, j in same if i >= k and j >= k and words[r][1][j - k] == ws[i - k]]
-            matched[d] += bool(best)
-            others = [w for e, t in words if e != d for w in t]
-            total[d] += math.log((1 - ngramlm.FLOOR) * (sum(words[r][1][j] == ws[i] for r, j in best) / len(best) if best else others.count(ws[i]) / len(others)) + base)
-    got = {r["doc_id"]: r for r in __spark_entry__.queries()["op9_unbounded_lm"](spark, str(tmp_path)).collect()}
-    assert set(got) == {d for d, _ in rows} and {d: r["matched"] for d, r in got.items()} == {d: matched[d] for d in got}
-    assert all(r["logprob"] == pytest.approx(total[d], rel=1e-5) for d, r in got.items())
-    assert ngramlm.scores(df.limit(0), back=True).collect() == []
+                best, length = same, length + 1
+                same = [(r, j) for r, j in same if i > length and j > length and words[r][1][j - length - 1] == ws[i - length - 1]]
+            if length:
+                out.append((d, length, len(best), sum(words[r][1][j] == ws[i] for r, j in best)))
+            else:
+                others = [w for e, t in words if e != d for w in t]
+                out.append((d, 0, len(others), others.count(ws[i])))
+    return out
+
+
+@pytest.mark.parametrize("shard,block", [(1 << 22, 1 << 19), (700, 300)])
+def test_language_model(spark, texts, shard, block):
+    rng = random.Random(7)
+    # Copies, a very frequent word, words of one document, one id in several rows, rows without an id, and no text.
+    rows = [*enumerate(texts[:110]), (60, "w1 " + texts[2]), (61, texts[0]), (None, texts[4]), (None, texts[5] + " w1"), (63, None), (64, "")]
+    rows += [(70 + i, " ".join(f"{rng.choice(['The', f'rare{i}x{j} the'])} w{rng.randrange(300)}" for j in range(rng.randint(1, 40)))) for i in [*range(30), *range(9)]]
+    plain = [(d, t or "") for d, t in rows]
+    asked = [(d, t) for d, t in plain if d is not None and d % 3 == 0] + [(1000, "w1 the unheard w2 of w3"), (1001, texts[3])]
+    base = ngramlm.FLOOR / ngramlm.estimate(ngramlm.registers(sorted({w for _, t in plain for w in t.lower().split()})))
+    want, longest = {d: [0, 0, 0.0] for d, _ in asked}, 0
+    for d, length, every, same in _longest_contexts(plain, asked):
+        want[d][0] += 1
+        want[d][1] += length > 0
+        want[d][2] += math.log((1 - ngramlm.FLOOR) * same / every + base)
+        longest = max(longest, length)
+    df, queries = (spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (rows, asked))
+    got = {r["doc_id"]: r for r in ngramlm.scores(df, queries, shard, block).collect()}
+    assert set(got) == set(want) and longest > 50
+    for d, (n, matched, total) in want.items():
+        assert (got[d]["words"], got[d]["matched"]) == (n, matched) and got[d]["logprob"] == pytest.approx(total, rel=1e-9)
+
+
+def test_language_model_query(spark, texts, tmp_path):
+    rows = [(10 * k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = [(d, t) for d, t in rows if d % 50 == 0]
+    base = ngramlm.FLOOR / ngramlm.estimate(ngramlm.registers(sorted({w for _, t in rows for w in t.split()})))
+    want = collections.Counter()
+    for d, _, every, same in _longest_contexts(rows, asked):
+        want[d] += math.log((1 - ngramlm.FLOOR) * same / every + base)
+    got = {r["doc_id"]: r["logprob"] for r in __spark_entry__.queries()["op9_unbounded_lm"](spark, str(tmp_path)).collect()}
+    assert set(got) == {d for d, _ in asked} and all(v == pytest.approx(want[d], rel=1e-9) for d, v in got.items())
+
+
+def test_suffix_array():
+    rng = random.Random(9)
+    held, rows = ngramlm.Corpus(), []
+    for d in range(60):
+        rows.append([rng.choice("abc") for _ in range(rng.randint(0, 12))] * rng.randint(1, 3))
+    held.add(pa.array(range(60)), pa.array([" ".join(r) for r in rows]))
+    index = ngramlm.Index(held)
+    back = [index.t[p : p + 40].tolist() for p in index.sa]
+    back = [b[: b.index(0)] for b in back]
+    assert len(back) == sum(max(len(r) - 1, 0) for r in rows) and back == sorted(back)
+    assert (index.isa[index.sa] == np.arange(len(back)) + index.base).all()
 
 
 def test_language_id(spark):

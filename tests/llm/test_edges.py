@@ -47,7 +47,7 @@ OPERATORS = {
     "decontam clean": lambda d, b, l: decontam.clean(d, b),
     "repeats": lambda d, b, l: fmindex.repeats(d),
     "remove": lambda d, b, l: fmindex.remove(d),
-    "lm": lambda d, b, l: ngramlm.scores(d),
+    "lm": lambda d, b, l: ngramlm.scores(d, d),
     "seekable": lambda d, b, l: seekable.write_shared(d),
 }
 
@@ -72,7 +72,7 @@ def test_defined_results(rows, spark):
     got = {r["doc_id"]: r for r in bpe.encode(rows).collect()}
     assert got[3]["tokens"] is None and got[2]["tokens"] == [] and got[9]["round_trip"] and got[5]["round_trip"]
     assert {r["doc_id"]: r["lang"] for r in langid.detect(rows).collect()}[2] == "und"
-    lm = {r["doc_id"]: r for r in ngramlm.scores(rows).collect()}
+    lm = {r["doc_id"]: r for r in ngramlm.scores(rows, rows).collect()}
     assert lm[1]["words"] == 10 and lm[6]["matched"] == 5 and lm[2]["words"] == 0 and lm[2]["perplexity"] is None
     spans = fmindex.repeats(spark.createDataFrame([(1, LONG), (1, LONG), (2, "a b")], "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["start"], r["end"]) for r in spans] == [(1, 0, len(LONG))]

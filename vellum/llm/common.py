@@ -51,25 +51,34 @@ def doc_rows(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder that all executors share.
+    """The URI of a new folder below the checkpoint folder that all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in tests on one machine,
-    a local temporary folder is set in its stead.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset and Spark runs on this machine alone, as in
+    tests, a temporary folder is set in its stead; on a cluster that would be another folder on each machine, and an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext.getCheckpointDir()
+        if held is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = held.rsplit("/", 1)[0] if held else "file://" + tempfile.mkdtemp(prefix="vellum-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}")
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def saved(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it cuts lineage and survives lost executors."""
+def saved_at(df: DataFrame, spark: SparkSession) -> tuple[DataFrame, str]:
+    """(``df`` written as Parquet to the shared folder and read again, that folder's URI)."""
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: it cuts lineage and survives lost executors."""
+    return saved_at(df, spark)[0]
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
