@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -104,38 +105,51 @@ def test_duplicates(spark, texts):
     assert hit >= 0.9 * len(want) and set(got) <= set(want)
 
 
+def _spaced(rng, words):
+    """The words with uneven white space, and where each begins and ends."""
+    text, spans = rng.choice(["", " ", "\n\n"]), []
+    for w in words:
+        spans.append((len(text), len(text) + len(w)))
+        text += w + rng.choice([" ", " ", "  ", "\n", " \t "])
+    return text, spans
+
+
 @pytest.mark.parametrize("earlier", [False, True])
 @pytest.mark.parametrize("size", [800, 1 << 18])
-def test_repeats(spark, texts, earlier, size, monkeypatch):
+@pytest.mark.parametrize("even", [True, False])
+def test_repeats(spark, texts, earlier, size, even, monkeypatch):
     monkeypatch.setattr(fmindex, "SHARD_WORDS", size)
-    length, gram = 10, 4
+    length, gram, rng = 10, 4, random.Random(size)
+    words = [[w + "\u00e9" * (len(w) % 2) for w in t.split()] for t in texts]
+    spaced = [_spaced(rng, ws) if not even else _spaced(random.Random(0), ws) if k % 2 else (" ".join(ws), [(m.start(), m.end()) for m in re.finditer("\\S+", " ".join(ws))]) for k, ws in enumerate(words)]
     occ = collections.defaultdict(list)
-    for d, t in enumerate(texts):
-        ws = t.split()
+    for d, ws in enumerate(words):
         for p in range(len(ws) - length + 1):
             occ[tuple(ws[p : p + length])].append((d, p))
-    want = set()
-    for d, t in enumerate(texts):
-        ws, at, spans = t.split(), 0, []
-        for w in ws:
-            spans.append((at, at + len(w)))
-            at += len(w) + 1
+    want, kept = set(), {}
+    for d, (ws, (text, spans)) in enumerate(zip(words, spaced)):
         hit = [False] * len(ws)
         for p in range(len(ws) - length + 1):
             places = occ[tuple(ws[p : p + length])]
             if min(places) < (d, p) if earlier else len(places) > 1:
                 hit[p : p + length] = [True] * length
-        k = 0
+        k, out, at = 0, [], 0
         while k < len(ws):
             if hit[k]:
                 j = k
                 while j + 1 < len(ws) and hit[j + 1]:
                     j += 1
                 want.add((d, spans[k][0], spans[j][1]))
-                k = j
+                out.append(text[at : spans[k][0]].strip())
+                k, at = j, spans[j][1]
             k += 1
-    got = fmindex._union(fmindex._intervals(frame(spark, texts), earlier, length, gram))
+        kept[d] = "\n".join(x for x in [*out, text[at:].strip()] if x) if any(hit) else text
+    df = frame(spark, [t for t, _ in spaced])
+    got = fmindex._union(fmindex._intervals(df, earlier, length, gram))
     assert {tuple(r) for r in got.select("doc_id", "start", "end").collect()} == want
+    if earlier:
+        rest = {r["doc_id"]: r["text"] for r in fmindex.remove(df, length, gram).collect()}
+        assert rest == {d: t for d, t in kept.items() if t or not any(d == e for e, _, _ in want)}
 
 
 def test_remove(spark):
@@ -145,6 +159,14 @@ def test_remove(spark):
     assert got == {2: f"first {passage}", 5: "start\nend"}
 
 
+def test_remove_with_uneven_spaces(spark):
+    p, q = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(60)]
+    rows = [(0, " ".join(p)), (1, " ".join(p[:5]) + "  " + " ".join([*p[5:], *q])), (2, " ".join(p) + "  " + " ".join(q))]
+    for order in ([0, 1, 2], [2, 1, 0]):
+        df = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string")
+        assert {r["doc_id"]: r["text"] for r in fmindex.remove(df).collect()} == {0: " ".join(p), 1: " ".join(q)}
+
+
 def test_wavelet_and_backward_search():
     rng = np.random.default_rng(1)
     seq = rng.integers(0, 37, 3000)
@@ -163,9 +185,10 @@ def _distance(pattern: bytes, text: bytes) -> int:
     return min(row)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("rate", [decontam.RATE, 0.2, 0.02])
+def test_decontamination(spark, rate):
     rng = random.Random(2)
-    items = ["".join(rng.choice("abcdefghij klmno") for _ in range(rng.randint(45, 260))).strip() for _ in range(12)]
+    items = ["".join(rng.choice("abcdefghij klmno-\u00e9") for _ in range(rng.randint(45, 260))).strip() for _ in range(12)] + ["abcdefghij" * 8]
     docs = []
     for d in range(60):
         x = list(rng.choice(items))
@@ -177,13 +200,13 @@ def test_decontamination(spark):
                 del x[k]
             else:
                 x.insert(k, "y")
-        docs.append("Some words before " + "".join(x).upper() + "\n and  after")
+        docs.append("Some words before " * (d % 4) + "".join(x).upper() + "\n and  after" * (d % 3))
     df = frame(spark, docs)
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     norm = lambda t: " ".join(t.lower().split()).encode()
-    want = {(d, n, e) for d, t in enumerate(docs) for n, i in enumerate(items) if len(p := norm(i)) >= decontam.MIN_BYTES and (e := _distance(p, norm(t))) <= min(int(decontam.RATE * len(p)), len(p) // 8 - 1)}
-    assert {tuple(r) for r in decontam.matches(df, bench).collect()} == want and len(want) > 5
-    assert {r["doc_id"] for r in decontam.clean(df, bench).collect()} == set(range(60)) - {d for d, _, _ in want}
+    want = {(d, n, e) for d, t in enumerate(docs) for n, i in enumerate(items) if (e := _distance(p := norm(i), norm(t))) <= int(rate * len(p))}
+    assert {tuple(r) for r in decontam.matches(df, bench, rate).collect()} == want and len(want) > 5
+    assert {r["doc_id"] for r in decontam.clean(df, bench, rate).collect()} == set(range(60)) - {d for d, _, _ in want}
 
 
 def test_decontamination_of_short_items(spark, tmp_path):
@@ -201,6 +224,8 @@ def test_decontamination_of_short_items(spark, tmp_path):
     got = {tuple(r) for r in __spark_entry__.queries()["op7_decontamination"](spark, str(tmp_path)).collect()}
     # The item of 40 bytes has a budget: the text of 39 is one edit away.
     assert got == want | {(7, 9, 1)} and len(want) > 12
+    kept = decontam.clean(*(spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "benchmark")))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(docs))) - {d for d, _, _ in got}
 
 
 def test_bpe(spark, texts):
@@ -240,8 +265,8 @@ def _longest_contexts(rows, asked):
     return out
 
 
-@pytest.mark.parametrize("shard,block", [(1 << 22, 1 << 19), (700, 300)])
-def test_language_model(spark, texts, shard, block):
+@pytest.mark.parametrize("shard,block,round_", [(1 << 21, 1 << 18, 1 << 24), (700, 300, 2000)])
+def test_language_model(spark, texts, shard, block, round_):
     rng = random.Random(7)
     # Copies, a very frequent word, words of one document, one id in several rows, rows without an id, and no text.
     rows = [*enumerate(texts[:110]), (60, "w1 " + texts[2]), (61, texts[0]), (None, texts[4]), (None, texts[5] + " w1"), (63, None), (64, "")]
@@ -256,7 +281,7 @@ def test_language_model(spark, texts, shard, block):
         want[d][2] += math.log((1 - ngramlm.FLOOR) * same / every + base)
         longest = max(longest, length)
     df, queries = (spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (rows, asked))
-    got = {r["doc_id"]: r for r in ngramlm.scores(df, queries, shard, block).collect()}
+    got = {r["doc_id"]: r for r in ngramlm.scores(df, queries, shard, block, round_).collect()}
     assert set(got) == set(want) and longest > 50
     for d, (n, matched, total) in want.items():
         assert (got[d]["words"], got[d]["matched"]) == (n, matched) and got[d]["logprob"] == pytest.approx(total, rel=1e-9)

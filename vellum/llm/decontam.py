@@ -1,24 +1,26 @@
 """Benchmark decontamination: passages of test items within an edit budget, by pigeonhole pieces and Myers' algorithm.
 
 An item of n bytes may differ by k = floor(``RATE`` n) edits. It is split into k + 1 pieces; one of them is left whole in
-any such match. Pieces are looked up by their first 8 bytes at every byte of the texts at once: a bit table, then
-binary search, then the whole piece. Up to 4 pieces in a row make a group, whose budget is its pieces less one: if every
-group had as many edits as pieces, the match would have k + 1; so around each hit the group is verified first, with
-Myers' bit-parallel distance in 64-bit lanes of numpy, and only then the whole item with Myers over a Python integer.
-Nothing is dropped that the budget allows.
+any such match. Pieces are looked up by their first 8 bytes (or all, if they are shorter) at every byte of the texts at once:
+a bit table, then binary search, then the whole piece. Up to 4 pieces in a row make a group, whose budget is its pieces less
+one: if every group had as many edits as pieces, the match would have k + 1; so around each hit the group is verified first,
+with Myers' bit-parallel distance in 64-bit lanes of numpy, and only then the whole item with Myers over a Python integer.
+Nothing is dropped that the budget allows. Items of fewer than ``MIN_BYTES`` bytes ("yes", a short question) have a budget
+of 0: they match where they stand as they are, between word boundaries.
 
 Items are broadcast to the tasks as long as they hold at most ``BROADCAST_BYTES``; a larger table is worked off in as
-many passes over the texts, so that what a task holds doesn't grow with it.
+many passes over the texts, so that what a task holds doesn't grow with it. The tables of a pass are made once in a worker.
 
 Texts and items are compared as UTF-8 in lower case, with runs of white space as one space. Defined results: items that
-are null or empty match nothing; those shorter than ``MIN_BYTES`` after that match without edits and between word boundaries
-in ``matches`` with ``short``, as the query has it, else nothing, as in ``clean``; null and empty texts match
-nothing; rows without an id are never reported, but ``clean`` drops them if their text matches; repeated rows and repeated
-items give one pair; columns of any name pass through ``clean``; empty tables give empty results.
+are null or empty match nothing; null and empty texts match nothing; rows without an id are never reported, but ``clean``
+drops them if their text matches; of an item that is held at several places, or several times in the table, the least
+distance counts; repeated rows and repeated items give one pair; columns of any name pass through ``clean``; very long texts
+and items are matched whole; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from .common import _BYTE, U, doc_rows, index_of, inverse_powers, pick, position
 RATE = 0.1
 MIN_BYTES = 40
 GROUP = 4
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 2 << 20
 _TABLE_BITS = 22
 _ODD = U(0x9E3779B97F4A7C15)
 
@@ -70,67 +72,79 @@ def myers(pattern: bytes, text: bytes) -> int:
     return best
 
 
+#: Classes of bytes for the lanes: letters, digits and the space have their own, other bytes share 26. Sharing can only let more
+#: hits through to the exact distance.
+_CLASS = np.array([c - 96 if 97 <= c <= 122 else c - 20 if 48 <= c <= 57 else 27 if c == 32 else 38 + c % 26 for c in range(256)], np.int64)
+
+
 class Matcher:
     """The pieces and groups of a set of items."""
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
         self.items = items
         rows: list[tuple[int, int, int, int]] = []  # item, start, end, group
-        groups: list[tuple[int, int, int]] = []  # start, end, budget
-        for n, (_, text) in enumerate(items):
-            k = min(int(rate * len(text)), len(text) // 8 - 1)
+        groups: list[tuple[int, int, int, int]] = []  # item, start, end, budget
+        self.budget = [min(int(rate * len(t)), len(t) - 1) for _, t in items]
+        for n, (k, (_, text)) in enumerate(zip(self.budget, items)):
             cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
             for g in range(0, k + 1, GROUP):
                 last = min(g + GROUP, k + 1)
                 for j in range(g, last):
                     rows.append((n, cuts[j], cuts[j + 1], len(groups)))
-                groups.append((cuts[g], cuts[last], last - g - 1))
-        self.budget = [min(int(rate * len(t)), len(t) // 8 - 1) for _, t in items]
-        key = np.array([int.from_bytes(items[n][1][a : a + 8], "little") for n, a, _, _ in rows], np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        r = np.array(rows, np.int64).reshape(-1, 4)[order]
-        self.item, self.start, self.end, self.group = r.T
-        g = np.array(groups, np.int64).reshape(-1, 3)
-        self.g_start, self.g_end, self.g_budget = g.T
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[((self.key * _ODD) >> U(64 - _TABLE_BITS)).astype(np.int64)] = True
-        # Groups as lanes: bits of each byte, for patterns of up to 64 bytes (the tail of a longer one is left to the item).
+                groups.append((n, cuts[g], cuts[last], last - g - 1))
+        r = np.array(rows, np.int64).reshape(-1, 4)
+        width = np.minimum(r[:, 2] - r[:, 1], 8)
+        key = np.array([int.from_bytes(items[n][1][a : min(a + 8, b)], "little") for n, a, b, _ in rows], np.uint64)
+        # Pieces lie by the bytes that they are looked up by, 8 first, and by these.
+        order = np.lexsort((key, -width))
+        self.key, width = key[order], width[order]
+        self.item, self.start, self.end, self.group = r[order].T
+        #: (bytes, first piece, end, bit table) of each width.
+        self.widths: list[tuple[int, int, int, np.ndarray]] = []
+        for w in sorted({int(x) for x in width}, reverse=True):
+            a, b = int(np.searchsorted(-width, -w)), int(np.searchsorted(-width, -w, "right"))
+            table = np.zeros(1 << _TABLE_BITS, bool)
+            table[((self.key[a:b] * _ODD) >> U(64 - _TABLE_BITS)).astype(np.int64)] = True
+            self.widths.append((w, a, b, table))
+        self._flat = np.frombuffer(b"".join(t for _, t in items), np.uint8)
+        self._base = np.concatenate(([0], np.cumsum([len(t) for _, t in items], dtype=np.int64)))
+        g = np.array(groups, np.int64).reshape(-1, 4)
+        item, self.g_start, self.g_end, self.g_budget = g.T
+        # Groups as lanes: bits of each class, for patterns of up to 64 bytes (the tail of a longer one is left to the item).
         self.g_bytes = np.minimum(self.g_end - self.g_start, 64)
-        self.g_item = np.zeros(len(g), np.int64)
-        self.g_item[self.group] = self.item
-        self.peq = np.zeros((len(g), 256), np.uint64)
-        for j in range(len(g)):
-            text = items[self.g_item[j]][1]
-            for i, c in enumerate(text[self.g_start[j] : self.g_start[j] + self.g_bytes[j]]):
-                self.peq[j, c] |= U(1) << U(i)
+        cell = np.repeat(np.arange(len(g)), self.g_bytes)
+        bit = np.arange(len(cell)) - np.repeat(np.cumsum(self.g_bytes) - self.g_bytes, self.g_bytes)
+        byte = self._flat[self._base[item[cell]] + self.g_start[cell] + bit] if len(cell) else np.zeros(0, np.uint8)
+        self.peq = np.zeros((len(g), 64), np.uint64)
+        np.bitwise_or.at(self.peq, (cell, _CLASS[byte]), U(1) << bit.astype(np.uint64))
 
     def _hits(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, piece) wherever a whole piece occurs in the bytes."""
-        n = len(raw) - 7
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, keys = [], []
-        data = raw.tobytes()
-        for shift in range(8):
-            count = (len(raw) - shift) // 8
-            if count <= 0:
-                continue
-            x = np.frombuffer(data, "<u8", count, shift)
-            some = np.flatnonzero(self.table[((x * _ODD) >> U(64 - _TABLE_BITS)).astype(np.int64)])
-            at.append(some * 8 + shift)
-            keys.append(x[some])
-        at, keys = np.concatenate(at), np.concatenate(keys)
-        lo, hi = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
-        count = hi - lo
-        at = np.repeat(at, count)
-        piece = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(at))
-        longest = int((self.end - self.start).max(initial=8))
+        places, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        data = raw.tobytes() + bytes(16)
+        for width, first, end, table in self.widths:
+            at, keys = [], []
+            mask = U((1 << 8 * width) - 1)
+            for shift in range(8):
+                x = np.frombuffer(data, "<u8", len(raw) // 8 + 1, shift)
+                if width < 8:
+                    x = x & mask
+                some = np.flatnonzero(table[((x * _ODD) >> U(64 - _TABLE_BITS)).astype(np.int64)])
+                at.append(some * 8 + shift)
+                keys.append(x[some])
+            at, keys = np.concatenate(at), np.concatenate(keys)
+            lo, hi = (first + np.searchsorted(self.key[first:end], keys, side) for side in ("left", "right"))
+            count = hi - lo
+            at = np.repeat(at, count)
+            places.append(at)
+            pieces.append(np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(at)))
+        at, piece = np.concatenate(places), np.concatenate(pieces)
+        size = self.end - self.start
         if len(at):
-            ok = at + (self.end - self.start)[piece] <= len(raw)
+            ok = at + size[piece] <= len(raw)
             at, piece = at[ok], piece[ok]
-            for i in range(8, longest):
-                use = np.flatnonzero((self.end - self.start)[piece] > i)
+            for i in range(8, int(size.max(initial=8))):
+                use = np.flatnonzero(size[piece] > i)
                 if not len(use):
                     break
                 want = self._byte(piece[use], i)
@@ -142,9 +156,6 @@ class Matcher:
         return at, piece
 
     def _byte(self, piece: np.ndarray, i: int) -> np.ndarray:
-        if not hasattr(self, "_flat"):
-            self._flat = np.frombuffer(b"".join(t for _, t in self.items), np.uint8)
-            self._base = np.concatenate(([0], np.cumsum([len(t) for _, t in self.items])))
         return self._flat[self._base[self.item[piece]] + self.start[piece] + i]
 
     def _groups_near(self, raw: np.ndarray, at: np.ndarray, piece: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -170,7 +181,7 @@ class Matcher:
             width = b[t] - a[t]
             for i in range(int(width.max(initial=0))):
                 live = i < width
-                eq = np.where(live, self.peq[gg, raw[np.minimum(a[t] + i, len(raw) - 1)]], U(0))
+                eq = np.where(live, self.peq[gg, _CLASS[raw[np.minimum(a[t] + i, len(raw) - 1)]]], U(0))
                 xv = eq | mv
                 xh = (((eq & pv) + pv) ^ pv) | eq
                 ph = mv | ~(xh | pv)
@@ -194,7 +205,7 @@ class Matcher:
         ok = self._groups_near(raw, at, piece, off[doc], off[doc + 1])
         at, piece, doc = at[ok], piece[ok], doc[ok]
         item = self.item[piece]
-        size = np.array([len(t) for _, t in self.items], np.int64)
+        size = np.diff(self._base)
         budget = np.array(self.budget, np.int64)
         begin = at - self.start[piece]
         a = np.maximum(begin - budget[item], off[doc])
@@ -284,22 +295,39 @@ def _passes(benchmark: DataFrame, low: int = MIN_BYTES, below: int | None = None
     return [p for p in parts if p]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: bool = False) -> DataFrame:
-    """(doc_id, item_id, distance): the items that a document holds within the budget, at their least distance.
+Pass = tuple[str, list[tuple[int, bytes]], bool]
+
+
+def _all_passes(benchmark: DataFrame) -> list[Pass]:
+    """(a name of its own, items, whether they are short and match as they are)."""
+    found = [(items, False) for items in _passes(benchmark)] + [(items, True) for items in _passes(benchmark, 1, MIN_BYTES)]
+    return [(uuid.uuid4().hex, items, exact) for items, exact in found]
+
 
-    short: whether items below ``MIN_BYTES`` match too, without edits and between word boundaries.
-    """
+_made: dict[tuple[str, float], "Matcher | Exact"] = {}
+
+
+def _finder(held: Pass, rate: float) -> "Matcher | Exact":
+    """The pass's tables, made once in a worker; only the last passes' are kept."""
+    name, items, exact = held
+    found = _made.get((name, rate))
+    if found is None:
+        while len(_made) > 1:
+            _made.pop(next(iter(_made)))
+        found = _made[name, rate] = Exact(items) if exact else Matcher(items, rate)
+    return found
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """(doc_id, item_id, distance): the items that a document holds within the budget, at their least distance."""
     spark = docs.sparkSession
     texts = doc_rows(docs).filter("doc_id is not null and text is not null")
     out = spark.createDataFrame([], "doc_id long, item_id long, distance int")
-    passes = [(items, False) for items in _passes(benchmark)]
-    if short:
-        passes += [(items, True) for items in _passes(benchmark, 1, MIN_BYTES)]
-    for items, exact in passes:
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, exact=exact) -> Iterator[pa.RecordBatch]:
-            m = Exact(held.value) if exact else Matcher(held.value, rate)
+    for one in _all_passes(benchmark):
+        held = spark.sparkContext.broadcast(one)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            m = _finder(held.value, rate)
             for b in (s for whole in batches for s in slices(whole, 1)):
                 found = m.find(*utf8_buffers(normal(b.column(1))))
                 ids = b.column(0).take(pa.array([d for d, _, _ in found], pa.int64()))
@@ -312,11 +340,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: bo
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item."""
     plain, text = positional(docs), index_of(docs, "text")
-    for items in _passes(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    for one in _all_passes(benchmark):
+        held = docs.sparkSession.sparkContext.broadcast(one)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            m = Matcher(held.value, rate)
+            m = _finder(held.value, rate)
             for b in (s for whole in batches for s in slices(whole, text)):
                 stay = np.ones(b.num_rows, bool)
                 stay[[d for d, _, _ in m.find(*utf8_buffers(normal(b.column(text))))]] = False

@@ -39,6 +39,8 @@ GRAM = 16
 #: Words that one shard's index holds at about most; streams are cut to runs of CHUNK words, overlapping by MIN_WORDS.
 SHARD_WORDS = 1 << 18
 CHUNK = 192
+#: Hashes of more words than a shard (16 bytes each) that are broadcast; more of them are joined.
+BROADCAST_ROWS = 200_000
 _B = U(0xA24BAED4963EE407)
 _MAX = U(2**64 - 1)
 
@@ -257,8 +259,8 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _regions(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of regions of (doc_id, text, shared hashes)."""
-    schema = "doc_id long, at long, chars long, words int, text string, hashes array<long>, k1 long, k2 long"
+    """Rows of regions of (doc_id, text, shared hashes); at and first are their first character and word in the text."""
+    schema = "doc_id long, at long, first long, chars long, words int, text string, hashes array<long>, k1 long, k2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, 1)):
@@ -284,19 +286,21 @@ def _regions(texts: DataFrame, length: int, gram: int) -> DataFrame:
             d = w.doc[start]
             bs, be = w.start[start], w.end[end - 1]
             data = raw.tobytes()
+            cum = np.cumsum(end - start) - (end - start)
+            cells = np.repeat(np.arange(len(start)), end - start)
+            words = np.arange(len(cells)) - np.repeat(cum - start, end - start)
             keys = []
             for odd in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)):
-                # Keyed by words and their place in the region, and by the bytes between, through the length.
-                cells = np.repeat(np.arange(len(start)), end - start)
-                words = np.concatenate([np.arange(x, y) for x, y in zip(start, end)])
-                v = mix(w.hash[words] + odd * (words - start[cells] + 1).astype(np.uint64))
-                cum = np.concatenate(([0], np.cumsum(end - start)))[:-1]
-                keys.append(mix(np.add.reduceat(v, cum) + (be - bs).astype(np.uint64) * odd).view(np.int64))
+                # Keyed by the words, each with its number and its place in bytes: regions of one key have their words at the
+                # same offsets, whatever white space is between. Others of the same words are found by the index.
+                v = mix(mix(w.hash[words] + odd * (words - start[cells] + 1).astype(np.uint64)) + (w.start[words] - bs[cells]).astype(np.uint64))
+                keys.append(mix(np.add.reduceat(v, cum)).view(np.int64))
             bounds = np.append(cut, len(at)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(d)),
                     pa.array(cb[bs] - cb[off[d]]),
+                    pa.array(start - w.first[d]),
                     pa.array(cb[be] - cb[bs]),
                     pa.array((end - start).astype(np.int32)),
                     pa.array([data[x:y].decode("utf-8") for x, y in zip(bs, be)], pa.string()),
@@ -304,7 +308,7 @@ def _regions(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     pa.array(keys[0]),
                     pa.array(keys[1]),
                 ],
-                names=["doc_id", "at", "chars", "words", "text", "hashes", "k1", "k2"],
+                names=["doc_id", "at", "first", "chars", "words", "text", "hashes", "k1", "k2"],
             )
 
     return texts.mapInArrow(run, schema)
@@ -362,7 +366,7 @@ class Shard:
         slot = self.index.starts if self.earlier else None
         found = self._found(w, self.ids, 2, slot, 1)
         cb = chars_before(self.raw)
-        hit, starts, ends, left, l_at, l_text = [], [], [], [], [], []
+        hit, starts, ends, words, left, l_at, l_word, l_text = [], [], [], [], [], [], [], []
         data = self.raw.tobytes()
         for i, (f, e) in enumerate(zip(w.first.tolist(), w.first[1:].tolist())):
             spans = found.get(i, [])
@@ -371,6 +375,7 @@ class Shard:
                 hit.append(i)
                 starts.append(int(cb[w.start[f + x]]) - base)
                 ends.append(int(cb[w.end[f + y - 1]]) - base)
+                words.append((x, y))
             size, last = e - f, 0
             gaps: list[tuple[int, int]] = []
             for x, y in [*spans, (size, size)]:
@@ -386,6 +391,7 @@ class Shard:
                     x, y = int(w.start[f + a]), int(w.end[f + b - 1])
                     left.append(i)
                     l_at.append(int(cb[x]) - base)
+                    l_word.append(a)
                     l_text.append(data[x:y])
         texts = pa.array(l_text, pa.binary()).cast(pa.string())
         sub = Words(*utf8_buffers(texts))
@@ -394,12 +400,12 @@ class Shard:
         bounds = np.searchsorted(owner, np.arange(len(left) + 1)).astype(np.int32)
         hashes = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h.view(np.int64)))
         t, l = self.table.take(pa.array(hit, pa.int64())), self.table.take(pa.array(left, pa.int64()))
-        matched = _span_rows(t, np.array(starts, np.int64), np.array(ends, np.int64))
+        matched = _span_rows(t, starts, ends, words)
         rest = [l.column(c).combine_chunks() for c in ("doc_id", "at", "k1", "k2")]
-        return matched, pa.RecordBatch.from_arrays([*rest, pa.array(l_at, pa.int64()), texts, hashes], names=["doc_id", "at", "k1", "k2", "skip", "text", "hashes"])
+        return matched, pa.RecordBatch.from_arrays([*rest, pa.array(l_at, pa.int64()), pa.array(l_word, pa.int64()), texts, hashes], names=["doc_id", "at", "k1", "k2", "skip", "skip_words", "text", "hashes"])
 
     def others(self, table: pa.Table) -> pa.RecordBatch:
-        """Matches of rows (doc_id, at, skip, text, k1, k2) of other shards."""
+        """Matches of rows (doc_id, at, skip, skip_words, text, k1, k2) of other shards."""
         off, raw = utf8_buffers(table.column("text"))
         w = Words(off, raw)
         cb = chars_before(raw)
@@ -411,20 +417,27 @@ class Shard:
             starts = np.append(self.index.starts, self.index.n)
             rank = [bisect_left(self.places, p) for p in zip(table.column("doc_id").to_pylist(), table.column("at").to_pylist())]
             slot = starts[np.array(rank, np.int64)]
-        hit, starts_, ends = [], [], []
-        skip = table.column("skip").to_pylist()
+        hit, starts_, ends, words = [], [], [], []
+        skip, skip_words = table.column("skip").to_pylist(), table.column("skip_words").to_pylist()
         for i, spans in self._found(w, ids, 1, slot, 0).items():
             f, base = int(w.first[i]), int(cb[off[i]])
             for x, y in spans:
                 hit.append(i)
                 starts_.append(int(cb[w.start[f + x]]) - base + skip[i])
                 ends.append(int(cb[w.end[f + y - 1]]) - base + skip[i])
-        return _span_rows(table.take(pa.array(hit, pa.int64())), np.array(starts_, np.int64), np.array(ends, np.int64))
+                words.append((x + skip_words[i], y + skip_words[i]))
+        return _span_rows(table.take(pa.array(hit, pa.int64())), starts_, ends, words)
 
 
-def _span_rows(t: pa.Table, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _span_rows(t: pa.Table, start: list[int], end: list[int], words: list[tuple[int, int]]) -> pa.RecordBatch:
     keys = [t.column(c).combine_chunks() for c in ("k1", "k2")]
-    return pa.RecordBatch.from_arrays([*keys, pa.array(start), pa.array(end)], names=["k1", "k2", "from", "to"])
+    bounds = ([a for a, _ in words], [b for _, b in words])
+    return pa.RecordBatch.from_arrays([*keys, *(pa.array(x, pa.int64()) for x in (start, end, *bounds))], names=["k1", "k2", *_SPAN])
+
+
+#: Bounds of a match in its region, in characters and in words.
+_SPAN = ["from", "to", "from_word", "to_word"]
+_SPAN_TYPES = "`from` long, `to` long, from_word long, to_word long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[pa.RecordBatch]]]:
@@ -454,42 +467,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[p
 
 
 def _own_pass(length: int, gram: int, earlier: bool):
+    """Rows of matches, and of what is left, of each shard; the columns of the other kind are null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, _, parts in _runs(batches):
-            matched, left = Shard(pa.Table.from_batches(parts), length, gram, earlier).own()
-            n, m = matched.num_rows, left.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, shard, np.int64)),
-                    pa.nulls(n, pa.int64()),
-                    pa.nulls(n, pa.int64()),
-                    *(matched.column(k) for k in range(4)),
-                    pa.nulls(n, pa.int64()),
-                    pa.nulls(n, pa.string()),
-                    pa.nulls(n, pa.list_(pa.int64())),
-                ],
-                names=_OWN,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(m, shard, np.int64)),
-                    left.column("doc_id"),
-                    left.column("at"),
-                    left.column("k1"),
-                    left.column("k2"),
-                    pa.nulls(m, pa.int64()),
-                    pa.nulls(m, pa.int64()),
-                    left.column("skip"),
-                    left.column("text"),
-                    left.column("hashes"),
-                ],
-                names=_OWN,
-            )
+            for rows in Shard(pa.Table.from_batches(parts), length, gram, earlier).own():
+                n, held = rows.num_rows, set(rows.schema.names)
+                cols = [pa.array(np.full(n, shard, np.int64)) if c == "shard" else rows.column(c) if c in held else pa.nulls(n, t) for c, t in _OWN.items()]
+                yield pa.RecordBatch.from_arrays(cols, names=list(_OWN))
 
     return run
 
 
-_OWN = ["shard", "doc_id", "at", "k1", "k2", "from", "to", "skip", "text", "hashes"]
+_OWN = {**dict.fromkeys(("shard", "doc_id", "at", "k1", "k2", *_SPAN, "skip", "skip_words"), pa.int64()), "text": pa.string(), "hashes": pa.list_(pa.int64())}
+_OWN_TYPES = f"shard long, doc_id long, at long, k1 long, k2 long, {_SPAN_TYPES}, skip long, skip_words long, text string, hashes array<long>"
 
 
 def _other_pass(length: int, gram: int, earlier: bool):
@@ -514,24 +505,26 @@ def _intervals(docs: DataFrame, earlier: bool, length: int, gram: int) -> DataFr
     """(doc_id, start, end): characters of each repeated passage; with ``earlier`` only of what an earlier place holds."""
     spark = docs.sparkSession
     texts = doc_rows(docs).filter("doc_id is not null and text is not null")
-    rows = _anchor_rows(texts, length, gram)
-    shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
-    lists = shared.groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
+    rows = saved(_anchor_rows(texts, length, gram), spark)
+    # Counted by partial sums, and joined: however many documents have a hash, none of it is in one task alone.
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    lists = rows.join(often, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
     regions = saved(_regions(texts.join(lists, "doc_id"), length, gram), spark)
     place = F.struct("doc_id", "at")
     unique = regions.groupBy("k1", "k2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("words").alias("words"), F.first("hashes").alias("hashes"))
-    unique = unique.withColumn("least", F.array_min("hashes"))
-    load = F.sum("words").over(Window.partitionBy("least"))
-    # As many shards as the regions need, and several for a hash that more regions than one shard holds have in common.
-    unique = unique.withColumn("part", F.pmod("k1", F.ceil(load / SHARD_WORDS))).withColumn("shard", F.xxhash64("least", "part")).drop("least", "part")
-    unique = saved(unique, spark)
+    unique = saved(unique.withColumn("least", F.array_min("hashes")), spark)
     total = unique.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     n_shards = max(1, -(-2 * total // SHARD_WORDS))
-    unique = unique.withColumn("shard", F.pmod("shard", F.lit(n_shards)))
-    indexed = unique.select("shard", F.lit(True).alias("home"), F.col("p.doc_id").alias("doc_id"), F.col("p.at").alias("at"), "k1", "k2", F.lit(0).cast("long").alias("skip"), "text")
+    # As many shards as the regions need, and several for a hash that more regions than one shard holds have in common.
+    heavy = saved(unique.groupBy("least").agg(F.sum("words").alias("load")).filter(F.col("load") > SHARD_WORDS), spark)
+    if heavy.count() <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    part = F.pmod("k1", F.coalesce(F.ceil(F.col("load") / SHARD_WORDS), F.lit(1)))
+    unique = unique.join(heavy, "least", "left").withColumn("shard", F.pmod(F.xxhash64("least", part), F.lit(n_shards))).drop("least", "load")
+    indexed = unique.select("shard", F.lit(True).alias("home"), F.col("p.doc_id").alias("doc_id"), F.col("p.at").alias("at"), "k1", "k2", *(F.lit(0).cast("long").alias(c) for c in ("skip", "skip_words")), "text")
     by_shard = indexed.repartition(n_shards, "shard").sortWithinPartitions("shard")
-    own_rows = saved(by_shard.mapInArrow(_own_pass(length, gram, earlier), "shard long, doc_id long, at long, k1 long, k2 long, `from` long, `to` long, skip long, text string, hashes array<long>"), spark)
-    found = own_rows.filter("text is null").select("k1", "k2", "from", "to")
+    own_rows = saved(by_shard.mapInArrow(_own_pass(length, gram, earlier), _OWN_TYPES), spark)
+    found = own_rows.filter("text is null").select("k1", "k2", *_SPAN)
     # What has no match in its own shard goes on to the other shards in which one of its hashes occurs; regions that
     # occur more than once need that only where their first place matters.
     left = own_rows.filter("text is not null")
@@ -541,25 +534,28 @@ def _intervals(docs: DataFrame, earlier: bool, length: int, gram: int) -> DataFr
     part_of = ["k1", "k2", "skip"]
     visits = left.select(*part_of, "shard", F.explode("hashes").alias("h")).join(homes, "h").filter("to_shard <> shard").select(*part_of, "to_shard").distinct()
     visits = saved(visits, spark)
-    away = left.drop("shard").join(visits, part_of).select(F.col("to_shard").alias("shard"), F.lit(False).alias("home"), "doc_id", "at", "k1", "k2", "skip", "text")
+    away = left.drop("shard").join(visits, part_of).select(F.col("to_shard").alias("shard"), F.lit(False).alias("home"), "doc_id", "at", "k1", "k2", "skip", "skip_words", "text")
     again = indexed.join(visits.select(F.col("to_shard").alias("shard")).distinct(), "shard", "left_semi").select(*away.columns)
     met = again.unionByName(away).repartition(n_shards, "shard").sortWithinPartitions("shard", F.desc("home"))
-    found = found.unionByName(met.mapInArrow(_other_pass(length, gram, earlier), "k1 long, k2 long, `from` long, `to` long"))
-    own = regions.select("doc_id", "at", "chars", "k1", "k2", "words")
+    found = found.unionByName(met.mapInArrow(_other_pass(length, gram, earlier), f"k1 long, k2 long, {_SPAN_TYPES}"))
+    own = regions.select("doc_id", "at", "first", "chars", "k1", "k2", "words")
     copies = unique.select("k1", "k2", "copies", "p")
     whole = own.join(copies, ["k1", "k2"]).filter("copies > 1 and words >= " + str(length))
     if earlier:
         # Of equal regions all but the first lie at a later place; repeated rows of one id and place keep one.
         whole = whole.filter("not (doc_id = p.doc_id and at = p.at)")
-    part = own.join(found, ["k1", "k2"]).select("doc_id", (F.col("at") + F.col("from")).alias("start"), (F.col("at") + F.col("to")).alias("end"))
-    return whole.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("chars")).alias("end")).unionByName(part).distinct()
+    whole = whole.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("chars")).alias("end"), F.col("first").alias("start_word"), (F.col("first") + F.col("words")).alias("end_word"))
+    part = own.join(found, ["k1", "k2"]).select(
+        "doc_id", (F.col("at") + F.col("from")).alias("start"), (F.col("at") + F.col("to")).alias("end"), (F.col("first") + F.col("from_word")).alias("start_word"), (F.col("first") + F.col("to_word")).alias("end_word"),
+    )
+    return whole.unionByName(part).distinct()
 
 
 def _union(spans: DataFrame) -> DataFrame:
-    """Overlapping intervals of a document, and those with but a character between, made one."""
-    w = Window.partitionBy("doc_id").orderBy("start", "end")
-    s = spans.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    s = s.withColumn("run", F.sum(F.when(F.col("start") <= F.col("reach") + 1, 0).otherwise(1)).over(w))
+    """(doc_id, start, end): overlapping intervals of a document, and those without a word between, made one."""
+    w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
+    s = spans.withColumn("reach", F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("run", F.sum(F.when(F.col("start_word") <= F.col("reach"), 0).otherwise(1)).over(w))
     return s.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
