@@ -331,6 +331,50 @@ def test_language_id(spark):
     assert sum(r["lang"] == r["real"] for r in both) >= 0.95 * len(both)
 
 
+def test_language_id_of_long_words(spark):
+    """Words of any length, in training and scoring, against sums in logarithms; one language 1e8 times less likely a letter."""
+    rng = random.Random(5)
+    vocabulary = ["▁", "a", "b", "ab", "bba", "abab", "c" * 16]
+    long = "".join(rng.choice("ab") for _ in range(300))
+    m = langid.fit({"x": {"ab": 3, long: 2}, "y": {"bb": 4}, "z": {"c": 1, "ccc" * 20: 5}}, vocabulary)
+
+    def logs(w, p):
+        a = [0.0]
+        for e in range(1, len(w) + 1):
+            terms = [a[e - len(v)] + math.log(p[k]) for k, v in enumerate(vocabulary) if w.endswith(v, 0, e) and e >= len(v)]
+            if w[e - 1] not in vocabulary:
+                terms.append(a[e - 1] + math.log(p[len(vocabulary)]))
+            top = max(terms)
+            a.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        return a[-1]
+
+    words = ["a" * 47, "ü" * 47, "ß" * 200, "".join(rng.choice("abü") for _ in range(50)), "ab" * 2500, "c" * 640, "ccb" * 99, long]
+    got = m.words(words)
+    for g in range(3):
+        assert np.allclose(got[:, g], [logs("▁" + w, m.p[:, g]) for w in words], rtol=1e-9) and np.isfinite(got).all()
+    far = langid.Model(m.lattice, ["p", "q"], np.stack([m.p[:, 0], m.p[:, 0] * 1e-8], axis=1), np.zeros(2))
+    assert np.allclose(far.words(["ab" * 500])[0], [logs("▁" + "ab" * 500, far.p[:, g]) for g in (0, 1)], rtol=1e-9)
+    # Expectation maximisation with a long word, by all its segmentations in turn.
+    q, p = np.array([0.1, 0.2, 0.1, 0.3, 0.1, 0.1, 0.1, langid.UNKNOWN]), "▁abbaab"
+
+    def cuts(w):
+        if not w:
+            yield []
+        for k, v in enumerate(vocabulary):
+            if w.startswith(v):
+                yield from ([k, *rest] for rest in cuts(w[len(v) :]))
+
+    every = [(c, math.prod(q[k] for k in c)) for c in cuts(p)]
+    want = np.zeros(len(q))
+    for c, x in every:
+        np.add.at(want, c, x / sum(y for _, y in every))
+    piece, soft = langid._expected(m.lattice, p, q)
+    assert np.allclose(np.bincount(piece, weights=soft, minlength=len(q)), want)
+    # Equal languages tie: the first by name.
+    same = langid.Model(m.lattice, ["k", "l"], np.stack([m.p[:, 0]] * 2, axis=1), np.zeros(2))
+    assert {r["lang"] for r in langid.identify(frame(spark, ["ab ba", "ß" * 200]), same).collect()} == {"k"}
+
+
 def test_toxicity(spark):
     machine = toxicity.Automaton(("idiot", "worthless", "bad"), frozenset({"idiom"}))
 

@@ -8,11 +8,13 @@ labelled documents, those with the least hash of their id.
 
 Words are lower-cased, split at white space, and begin with the vocabulary's word mark. A character that the vocabulary
 lacks is a piece of its own with the probability ``UNKNOWN``. Words of up to ``SHORT`` characters go through
-arrays; longer ones are summed position by position, however long they are.
+arrays; longer ones are summed position by position, in training as in scoring, however long they are: each language's
+sums are scaled for themselves, so that none underflows.
 
 Defined results: null texts and those without words are ``und`` with confidence null and 0 words; ties go to the first
-language by name; rows are judged each for itself, whatever their ids; columns of other names don't matter; without any
-labelled row every text is ``und``; empty tables give empty results.
+language by name; repeated rows repeat, and rows are judged each for itself, whatever their ids; very long texts and words are
+scored whole, with finite scores; columns of other names don't matter; without any labelled row every text is ``und``; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ ROUNDS = 3
 UNKNOWN = 1e-8
 SHORT = 48
 MARK = "▁"
+#: Scale of a character, so that the sums over ``SHORT`` of them stay within a float's range from UNKNOWN's power to 1.
+_SCALE = 1e4
+#: Sums below this are scaled up again.
+_LOW = 1e-100
 _B = U(0x9E3779B97F4A7C15)
 
 
@@ -111,8 +117,6 @@ class Model:
 
     def __init__(self, lattice: Lattice, langs: list[str], p: np.ndarray, prior: np.ndarray):
         self.lattice, self.langs, self.p, self.prior = lattice, langs, p, prior
-        #: Scale of a character, so that a short word's sums stay within a float's range.
-        self.scale = 20.0
 
     def words(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
@@ -131,10 +135,14 @@ class Model:
                 k = k[np.argsort(word[k], kind="stable")]
                 if not len(k):
                     continue
-                terms = a[word[k], start[k]] * self.p[piece[k]] * (self.scale ** length[k])[:, None]
+                terms = a[word[k], start[k]] * self.p[piece[k]] * (_SCALE ** length[k])[:, None]
                 cut = np.flatnonzero(np.concatenate(([True], word[k][1:] != word[k][:-1])))
                 a[word[k][cut], e] = np.add.reduceat(terms, cut, axis=0)
-            out[short] = np.log(a[np.arange(len(short)), size]) - (size * math.log(self.scale))[:, None]
+            whole = a[np.arange(len(short)), size]
+            sure = (whole > 1e-290).all(axis=1)
+            out[np.array(short)[sure]] = np.log(whole[sure]) - (size[sure] * math.log(_SCALE))[:, None]
+            for i in np.array(short)[~sure].tolist():
+                out[i] = self._long(marked[i])
         for i, w in enumerate(marked):
             if len(w) > SHORT:
                 out[i] = self._long(w)
@@ -152,12 +160,36 @@ class Model:
             k = order[bounds[e] : bounds[e + 1]]
             v = (a[start[k] % width] * self.p[piece[k]]).sum(axis=0)
             a[e % width] = v
-            if v.max() < 1e-100:
-                a /= v
-                log += np.log(v)
+            low = v < _LOW
+            if low.any():
+                a[:, low] /= v[low]
+                log[low] += np.log(v[low])
         return np.log(a[n % width]) + log
 
 
+def _expected(lattice: Lattice, word: str, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, expected number) of a word of any length, by forward and backward sums in logarithms."""
+    text, first, room = _points([word])
+    at, length, piece = lattice.edges(text, room)
+    order, bounds, _, start = _by_end(first, at, length)
+    by_start = np.argsort(start, kind="stable")
+    n, end, f = len(word), start + length, np.log(q[piece])
+    cuts = np.searchsorted(start[by_start], np.arange(n + 1))
+    a, b = np.zeros(n + 1), np.zeros(n + 1)
+
+    def total(x: np.ndarray) -> float:
+        top = x.max()
+        return top + np.log(np.exp(x - top).sum())
+
+    for e in range(1, n + 1):
+        k = order[bounds[e] : bounds[e + 1]]
+        a[e] = total(a[start[k]] + f[k])
+    for s in range(n - 1, -1, -1):
+        k = by_start[cuts[s] : cuts[s + 1]]
+        b[s] = total(b[end[k]] + f[k])
+    return piece, np.exp(a[start] + f + b[end] - a[n])
+
+
 def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int = ROUNDS) -> Model:
     """The model of each language's word counts, by expectation maximisation over all segmentations."""
     lattice, langs = Lattice(vocabulary), sorted(counts)
@@ -166,9 +198,10 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
     totals = np.array([sum(counts[g].values()) for g in langs], np.float64)
     for g, lang in enumerate(langs):
         words = [w for w in counts[lang] if 0 < len(w) < SHORT]
+        longer = [(MARK + w, c) for w, c in counts[lang].items() if len(w) >= SHORT]
         weight = np.array([counts[lang][w] for w in words], np.float64)
         q = np.full(n + 1, 1.0 / max(n, 1))
-        if words:
+        if words or longer:
             text, first, room = _points([MARK + w for w in words])
             at, length, piece = lattice.edges(text, room)
             order, bounds, word, start = _by_end(first, at, length)
@@ -178,18 +211,21 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int =
                 a, b = (np.zeros((len(words), SHORT + 2)) for _ in range(2))
                 a[:, 0] = 1.0
                 b[np.arange(len(words)), size] = 1.0
-                f = q[piece] * 20.0**length
+                f = q[piece] * _SCALE**length
                 for e in range(1, len(bounds) - 1):
                     k = order[bounds[e] : bounds[e + 1]]
                     a[:, e] = np.bincount(word[k], weights=a[word[k], start[k]] * f[k], minlength=len(words))
                 by_start = np.argsort(start, kind="stable")
-                cuts = np.searchsorted(start[by_start], np.arange(int(start.max()) + 2))
+                cuts = np.searchsorted(start[by_start], np.arange(int(start.max(initial=0)) + 2))
                 for s in range(len(cuts) - 2, -1, -1):
                     k = by_start[cuts[s] : cuts[s + 1]]
                     b[:, s] += np.bincount(word[k], weights=b[word[k], end[k]] * f[k], minlength=len(words))
                 whole = a[np.arange(len(words)), size]
-                soft = a[word, start] * f * b[word, end] * (weight / np.maximum(whole, 1e-300))[word]
+                soft = a[word, start] * f * b[word, end] / np.maximum(whole, 1e-300)[word] * weight[word]
                 c = np.bincount(piece, weights=soft, minlength=n + 1) + 0.01
+                for w, times in longer:
+                    k, soft = _expected(lattice, w, q)
+                    c += np.bincount(k, weights=soft * times, minlength=n + 1)
                 q = c / c[:n].sum()
         p[:n, g] = q[:n]
     return Model(lattice, langs, p, np.log(np.maximum(totals, 1) / max(totals.sum(), 1)))
