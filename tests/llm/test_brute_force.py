@@ -1,5 +1,6 @@
 """The operators against slow and plain versions of what they compute, on small fixtures."""
 
+import base64
 import collections
 import math
 import random
@@ -419,10 +420,13 @@ def test_toxicity_held_out(spark):
 
 
 def test_seekable(spark, texts, tmp_path):
-    from vellum.llm.common import saved
-
-    manifest = saved(seekable.write(frame(spark, texts), str(tmp_path / "out")), spark)
+    folder = tmp_path / "out"
+    manifest = seekable.write(frame(spark, texts), str(folder))
     codec = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load(), special_tokens={})
+    # What is there doesn't change with what of the manifest is read, or how often.
+    held = sorted(p.name for p in folder.iterdir())
+    assert len(manifest.limit(3).collect()) == 3 and manifest.first() and manifest.count() == manifest.count() == len(texts)
+    assert sorted(p.name for p in folder.iterdir()) == held and all((folder / r["file"].rsplit("/", 1)[1]).exists() for r in manifest.collect())
     got = {r["doc_id"]: r["tokens"] for r in seekable.read(manifest.filter("doc_id % 3 = 1")).collect()}
     assert set(got) == {d for d in range(len(texts)) if d % 3 == 1} and all(codec.decode(t) == texts[d] for d, t in got.items())
     row = manifest.filter("n_tokens > 20").first()
@@ -438,6 +442,29 @@ def test_seekable(spark, texts, tmp_path):
         seekable.read_frames(str(bad), [0])
 
 
+def test_seekable_wide_ids_nulls_and_failures(spark, tmp_path):
+    rows = [(1, "a text of words"), (1, "a text of words"), (2, None), (3, ""), (None, "no id"), (4, "\u65e5\u672c \U0001f642" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ranks = {bytes([k]): k for k in range(256)} | {b"te": 70_000, b"xt": 70_001}
+    vocabulary = tmp_path / "wide.tiktoken"
+    vocabulary.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
+    manifest = seekable.write(df, str(tmp_path / "wide"), str(vocabulary))
+    assert {r["width"] for r in manifest.collect()} == {4}
+    codec = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = sorted(((r["doc_id"], r["tokens"]) for r in seekable.read(manifest).collect()), key=str)
+    assert got == sorted(((d, None if t is None else codec.encode_ordinary(t)) for d, t in rows), key=str)
+
+    # A task that fails in the middle leaves nothing behind.
+    def broken(batches):
+        for k, b in enumerate(batches):
+            yield b
+            raise ValueError("lost")
+
+    with pytest.raises(Exception):
+        seekable.write(df.mapInArrow(broken, df.schema), str(tmp_path / "lost"))
+    assert not [p for p in (tmp_path / "lost").glob("*.zst")]
+
+
 def test_queries_and_pipeline(spark):
     names = __spark_entry__.queries()
     assert sorted({n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}) == sorted(f"op{k}" for k in range(1, 11))
