@@ -10,8 +10,9 @@ encoded pre-tokens, and decoded by the inverse lookup of the tokens' bytes.
 The vocabulary is a file of base64 tokens and ranks; its path is a parameter, and only its content is broadcast.
 
 Defined results: a null text has null tokens and is in ``round_trip`` null; an empty text has an empty list; very long
-texts are encoded whole; rows are encoded each for itself, whatever their ids; other columns don't matter; an empty
-table gives an empty result. Decoding null tokens gives null, an id outside of the vocabulary raises ValueError.
+texts are encoded whole; rows are encoded each for itself, whatever their ids, and repeated rows repeat; ties can't occur, as
+ranks are distinct, and of equal pairs in a pre-token the leftmost is joined first; other columns don't matter; an empty
+table gives an empty result. Decoding null tokens gives null, an id outside of the vocabulary or a null id raises ValueError.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -81,6 +83,8 @@ class Codec:
 
     def _lookup(self, keys: np.ndarray) -> np.ndarray:
         """The token that each pair makes, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.makes[at], -1)
 
@@ -262,16 +266,23 @@ def decode(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) of rows of (doc_id, tokens); bytes that aren't UTF-8 become replacement characters."""
     held = rows.sparkSession.sparkContext.broadcast(load(vocabulary))
 
+    none = np.zeros(0, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(held.value)
+        codec = Codec(held.value, pairs=(none, none))  # merges aren't needed
         for b in batches:
-            out = []
-            for tokens in b.column(1):
-                if not tokens.is_valid:
-                    out.append(None)
-                    continue
-                t = np.array(tokens.as_py(), np.int64)
-                out.append(codec.decode(np.array([0, len(t)]), t)[1].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+            lists = b.column(1)
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("a token id is null")
+            size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            off, raw = codec.decode(np.concatenate(([0], np.cumsum(size))), flat.to_numpy(zero_copy_only=False))
+            found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)])
+            try:
+                texts = found.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:  # not all of it is UTF-8
+                texts = pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), texts], names=["doc_id", "text"])
 
     return pick(rows, doc_id="long", tokens="array<int>").mapInArrow(run, "doc_id long, text string")
