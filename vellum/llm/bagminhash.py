@@ -13,6 +13,10 @@ as 64-bit keys. Each bucket's texts are first compared with its least id only. T
 already in one group is compared too, so that no candidate is left out, though a group of n alike costs O(n). Each
 pair is verified on the real multisets. Groups are connected components, by alternating star contraction.
 
+Groups' and buckets' least ids are partial aggregates, joined back, so that a text or bucket that a third of all rows share
+isn't one task's (adaptive execution splits such joins). A text that is compared with more than ``MEETS`` others is sent in
+as many copies as it needs for each to meet at most about so many, in different tasks.
+
 Defined results: texts are compared in lower case, split at white space; those of fewer words than a shingle are one
 shingle; null texts and texts without words are never duplicates; rows without an id are never grouped, and stay; rows
 that share a doc_id are one document in ``duplicates`` (similar if any of their texts is), and ``deduplicate`` keeps of
@@ -36,6 +40,8 @@ from .common import U, Words, doc_rows, index_of, mix, positional, saved, slices
 SHINGLE = 2
 BANDS, ROWS = 20, 4
 THRESHOLD = 0.6
+#: Texts that one copy of a text is compared with, about at most.
+MEETS = 500
 _B1, _B2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
@@ -160,14 +166,22 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int = SHIN
         for b in (s for whole in batches for s in slices(whole, 2, 3)):
             yield b.select([0, 1]).filter(pa.array(overlap(b.column(2), b.column(3), n) >= threshold))
 
-    joined = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    # Texts on side b that many meet are sent in several copies, each of which meets a part of them.
+    often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEETS).cast("int").alias("copies"))
+    part = F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")
+    spread = pairs.join(often.filter("copies > 1"), "b", "left").select("a", "b", F.coalesce(part, F.lit(0)).alias("part"))
+    tb = tb.join(often, "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"))
+    joined = spread.join(tb, ["b", "part"]).join(ta, "a").select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, spark) -> DataFrame:
     """(doc_id, root): the least id of each connected component, for all but the roots; edges are (a, b)."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
-    by_u = Window.partitionBy("u")
+
+    def with_least(df: DataFrame) -> DataFrame:
+        """With the least v of each u; however often a u occurs, it isn't one task's."""
+        return df.join(df.groupBy("u").agg(F.min("v").alias("m")), "u")
 
     def stamp(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -175,8 +189,8 @@ def components(edges: DataFrame, spark) -> DataFrame:
     last = stamp(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.withColumn("m", F.min("v").over(by_u))
+        large = with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = with_least(large)
         small = low.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = small.checkpoint()
         now = stamp(e)
@@ -190,19 +204,20 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE,
     spark = docs.sparkSession
     texts = doc_rows(docs)
     sk = saved(sketches(texts, n, bands, rows), spark)
-    same = Window.partitionBy("k1", "k2")
-    exact = sk.select("doc_id", F.min("doc_id").over(same).alias("rep")).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = sk.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("r.doc_id", "r.bands")
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    stars = keys.select("doc_id", "key", F.min("doc_id").over(bucket).alias("least"), F.max("doc_id").over(bucket).alias("most")).filter("least <> most")
-    stars = saved(stars.select("doc_id", "key", "least"), spark)
+    groups = saved(sk.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands")).alias("r"), F.count(F.lit(1)).alias("n")), spark)
+    # The least id of a group has one of its signatures; exact copies have equal ones.
+    copies = groups.filter("n > 1").select("k1", "k2", F.col("r.doc_id").alias("b"))
+    exact = sk.select(F.col("doc_id").alias("a"), "k1", "k2").join(copies, ["k1", "k2"]).filter("a <> b").select("a", "b").distinct()
+    keys = groups.select("r.doc_id", F.explode("r.bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most").select("key", "least")
+    stars = saved(keys.join(shared, "key").select("doc_id", "key", "least"), spark)
     pairs = saved(stars.filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct(), spark)
     edges = saved(verified(pairs, texts, threshold, n), spark)
     roots = components(edges, spark)
     # The rest of the candidates: pairs of a bucket that are in different groups as yet.
-    grouped = stars.join(roots, "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("root"))
-    mixed = grouped.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).filter("lo <> hi").select("doc_id", "key", "root")
+    grouped = saved(stars.join(roots, "doc_id", "left").select("doc_id", "key", F.coalesce("root", "doc_id").alias("root")), spark)
+    several = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    mixed = grouped.join(several, "key", "left_semi")
     left = mixed.select("key", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
     right = mixed.select("key", F.col("doc_id").alias("a"), F.col("root").alias("ra"))
     rest = left.join(right, "key").filter("a > b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
