@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tests.conftest import values
 from vellum.engine import Engine
-from vellum.errors import DuplicateKeyError, SpecError
+from vellum.errors import ConflictError, DuplicateKeyError, SpecError
 from vellum.functions import geo, text, variant
 from vellum.sources import backup, bson, gridfs
 from vellum.streaming import changes, oplog
@@ -152,3 +152,117 @@ def test_variant(spark):
     assert values(df.filter(variant.compare(F.col("doc"), "x", "$gt", 2.6)), "_id") == [(2,), (4,), (5,), (6,), (7,), (8,), (9,)]
     assert values(df.filter(variant.compare(F.col("doc"), "x", "$eq", None)), "_id") == [(0,), (1,)]
     assert values(df.filter(variant.compare(F.col("doc"), "x", "$eq", 3.0)), "_id") == [(2,)]
+
+
+def test_places_rise_within_a_second(spark, tmp_path, monkeypatch):
+    import vellum.engine as engine
+
+    monkeypatch.setattr(engine.time, "time", lambda: 1_700_000_000.5)
+    c = Engine(spark, str(tmp_path)).database("shop").collection("people")
+    c.insert([("1", "a"), ("2", "b")], "_id string, name string")
+    c.delete({"_id": "1"})
+    c.insert([("1", "c")], "_id string, name string")
+    c.update_one({"_id": "2"}, {"$set": {"name": "x"}})
+    c.update_one({"_id": "2"}, {"$set": {"name": "y"}})
+    log = c.database.oplog()
+    assert log.select("ts", "c").distinct().count() == log.count() == 6 and {r["ts"] for r in log.collect()} == {1_700_000_000}
+    base = spark.createDataFrame([], "_id string, name string")
+    assert values(oplog.apply(base, log, c.ns)) == [("1", "c"), ("2", "y")] == values(c.rows())
+    w = c.watch(batch=2)
+    assert [e["operationType"] for e in w] == ["insert", "insert", "delete", "insert", "update", "update"]
+    assert values(backup.restore(base, [log, log], c.ns)) == [("1", "c"), ("2", "y")]
+
+
+def test_batches_with_repeated_keys(spark, tmp_path):
+    c = Engine(spark, str(tmp_path)).database("shop").collection("people")
+    c.insert([("1", "old")], "_id string, name string")
+    c.insert(spark.createDataFrame([("1", "x"), ("1", "y"), ("2", "z"), ("2", "w")], "_id string, name string").coalesce(1))
+    assert values(c.rows()) == [("1", "y"), ("2", "w")]
+    assert values(c.database.oplog().filter("op = 'i'").select("id").distinct(), "id") == [("1",), ("2",)] and c.database.oplog().count() == 3
+
+
+def test_two_writers(spark, tmp_path):
+    a = Engine(spark, str(tmp_path)).database("shop").collection("people")
+    a.insert([("1", 1)], "_id string, n int")
+    stale = a._meta()
+    a.update_one({"_id": "1"}, {"$inc": {"n": 1}})
+    with pytest.raises(ConflictError):
+        a._commit(stale, a.rows(), None)
+    assert values(a.rows()) == [("1", 2)]
+    # A lost writer's entries are there, once.
+    staged = a.database.oplog().count()
+    meta = a._meta()
+    a.database.oplog().limit(1).write.parquet(f"{a.path}/_log-{meta['version']}")
+    assert a.database.oplog().count() == staged + 1 == a.database.oplog().count()
+    tries = []
+
+    def add(t):
+        if not tries:
+            a.update_one({"_id": "1"}, {"$inc": {"n": 10}})
+        tries.append(1)
+        t.insert([("2", t.find_one({"_id": "1"})["n"])], "_id string, n int")
+        t.update({"_id": "2"}, {"$inc": {"n": 1}})
+        t.delete({"_id": "9"})
+        return t.find({"n": {"$gt": 12}}).count()
+
+    assert a.with_transaction(add) == 1 and len(tries) == 2 and values(a.rows()) == [("1", 12), ("2", 13)]
+
+    def nothing(t):
+        t.delete({})
+        t.abort()
+
+    a.with_transaction(nothing)
+    assert a.count() == 2
+
+
+def test_admin(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    c = e.database("shop").create("people", capped={"max_docs": 3})
+    with pytest.raises(SpecError):
+        e.database("shop").create("people")
+    c.insert([(k, "n%d" % k) for k in range(5)], "_id int, name string")
+    c.modify(max_docs=2)
+    c.insert([(9, "x")], "_id int, name string")
+    assert values(c.rows(), "_id") == [(4,), (9,)]
+    assert e.server_status()["collections"] == 1 and e.current_op() == []
+    assert e.run_as("op", c.count) == 2
+    e.kill_op("op")
+    c.create_index({"name": 1})
+    told = c.explain({"name": "x"}, sort={"name": 1})
+    assert told["queryPlanner"]["parsedQuery"] == {"name": {"$eq": "x"}} and told["queryPlanner"]["winningPlan"]["stage"] == "COLLSCAN"
+    assert told["executionStats"]["nReturned"] == 1 and told["executionStats"]["totalDocsExamined"] == 2
+    c.arrange("name_1")
+    told = c.explain({"name": "x"}, sort={"name": 1})
+    assert told["queryPlanner"]["winningPlan"] == {"stage": "IXSCAN", "direction": "forward", "indexName": "name_1", "sortPattern": {"name": 1}}
+    assert told["executionStats"]["totalKeysExamined"] == 1 and values(c.rows(), "_id") == [(4,), (9,)]
+    ts = c.database.oplog().agg(F.max("ts")).first()[0]
+    n = c.database.oplog().count()
+    c.database.truncate_oplog(ts + 1)
+    assert c.database.oplog().count() == 0 < n
+    assert e.database("none").collection("c").explain()["queryPlanner"]["winningPlan"]["stage"] == "EOF"
+
+
+def test_update_events(spark, people):
+    deltas = [(1, 0, "u", "s.c", "1", '{"$set":{"a":1},"$unset":{"q":""},"z":[2]}', '{"_id":"1"}', 0), (1, 1, "u", "s.c", "1", '{"name":"new","age":3}', '{"_id":"1"}', 0)]
+    log = spark.createDataFrame(deltas, oplog.SCHEMA)
+    got = [r["updateDescription"] for r in changes.events(log, deltas=True).orderBy(F.unbase64("_id").cast("string")).collect()]
+    assert [(d["updatedFields"], d["removedFields"]) for d in got] == [('{"a":1,"z":[2]}', ["q"]), ('{"name":"new","age":3}', [])]
+    plain = [r["fullDocument"] for r in changes.events(log).orderBy(F.unbase64("_id").cast("string")).collect()]
+    assert plain == [None, '{"name":"new","age":3}']
+    people.update_many({}, {"$inc": {"age": 1}})
+    people.delete({"_id": "2"})
+
+    def updates_of(mode):
+        return [e["fullDocument"] for e in people.watch(fullDocument=mode) if e["operationType"] == "update"]
+
+    assert [x is None for x in updates_of("default")] == [False, False] and updates_of("off") == [None, None]
+    assert [x is None for x in updates_of("updateLookup")] == [x is None for x in updates_of("whenAvailable")] == [False, True]
+    with pytest.raises(Exception):
+        updates_of("required")
+    with pytest.raises(SpecError):
+        changes.events(log, mode="required")
+    w = people.watch()
+    assert w.next()["operationType"] == "insert"
+    with pytest.raises(TimeoutError):
+        for _ in range(9):
+            w.next(wait=0.01, timeout=0.01)

@@ -202,6 +202,30 @@ def update(df: DataFrame, filter: dict, change: dict, multi: bool = False, upser
     return out.unionByName(_inserted(df, filter, change, hit, key, key_value, now), allowMissingColumns=True) if upsert else out
 
 
+def changed(df: DataFrame, filter: dict, change: dict, multi: bool = False, key: str = "_id", now: dt.datetime | None = None) -> DataFrame:
+    """The rows, as they are after the update, that it makes different; only rows that the filter hits are looked at."""
+    hit = F.coalesce(compile_filter(filter, Scope.of(df)), F.lit(False))
+    rows = df.filter(hit if multi else F.coalesce(_first(df, hit, key), F.lit(False)))
+    out = apply_update(rows.withColumn("__was", F.to_json(F.struct(*(F.col(quoted(c)) for c in df.columns)))), change, F.lit(True), key=key, now=now)
+    if "__was" not in out.columns:
+        raise SpecError("__was is no field name")
+    names = [c for c in out.columns if c != "__was"]
+    is_ = F.to_json(F.struct(*(F.col(quoted(c)) for c in names)))
+    return out.filter(~F.col("__was").eqNullSafe(is_)).select(*(F.col(quoted(c)) for c in names))
+
+
+def upserted(df: DataFrame, filter: dict, change: dict, key: str = "_id", key_value: Any = None, now: dt.datetime | None = None) -> DataFrame:
+    """The row that an upsert adds, if any."""
+    hit = F.coalesce(compile_filter(filter, Scope.of(df)), F.lit(False))
+    return _inserted(df, filter, change, hit, key, key_value, now)
+
+
+def deleted(df: DataFrame, filter: dict, multi: bool = True, key: str = "_id") -> DataFrame:
+    """The rows that a delete takes away."""
+    hit = F.coalesce(compile_filter(filter, Scope.of(df)), F.lit(False))
+    return df.filter(hit if multi else F.coalesce(_first(df, hit, key), F.lit(False)))
+
+
 def _inserted(df: DataFrame, filter: dict, change: dict, hit: Column, key: str, key_value: Any, now: dt.datetime | None) -> DataFrame:
     """The row that an upsert adds: none where the filter has a match."""
     spark = df.sparkSession
@@ -251,7 +275,14 @@ def find_and_modify(df: DataFrame, filter: dict, sort: dict | None = None, chang
     return after, (project(value, fields, key, False) if fields else value)
 
 
+def last_of_each(rows: DataFrame, key: str = "_id") -> DataFrame:
+    """Of rows of equal keys the last, in the order of the rows' partitions; a partial aggregate, however often a key occurs."""
+    numbered = rows.select(F.col(quoted(key)).alias("__key"), F.struct(*(F.col(quoted(c)) for c in rows.columns)).alias("__row"), F.monotonically_increasing_id().alias("__n"))
+    return numbered.groupBy("__key").agg(F.max_by("__row", "__n").alias("__row")).select("__row.*")
+
+
 def insert(df: DataFrame, rows: DataFrame, key: str = "_id") -> DataFrame:
     """The collection with the rows; a row whose key is there already takes its place, the last of equal new ones counts."""
-    kept = df.join(rows.select(F.col(quoted(key)).alias("__key")).distinct(), F.col(quoted(key)).eqNullSafe(F.col("__key")), "left_anti")
+    rows = last_of_each(rows, key)
+    kept = df.join(rows.select(F.col(quoted(key)).alias("__key")), F.col(quoted(key)).eqNullSafe(F.col("__key")), "left_anti")
     return kept.unionByName(rows, allowMissingColumns=True)
