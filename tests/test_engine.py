@@ -266,3 +266,86 @@ def test_update_events(spark, people):
     with pytest.raises(TimeoutError):
         for _ in range(9):
             w.next(wait=0.01, timeout=0.01)
+
+
+def test_bson_splits_and_damage(spark, tmp_path):
+    rows = [(k, "x" * (k % 40), [k, 2], (k * 1.5, None)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, s string, a array<int>, o struct<d:double,z:string>")
+    path = str(tmp_path / "out")
+    backup.write(df.coalesce(1), path)
+    backup.write(df.coalesce(1), path)
+    read = spark.read.format("vellum-bson").schema(df.schema)
+    cut = read.option("splitBytes", 7001).load(path)
+    assert cut.rdd.getNumPartitions() > 10 and values(cut, "k", "s", "a") == values(df, "k", "s", "a") and cut.agg(F.sum("o.d")).first()[0] == sum(r[0] * 1.5 for r in rows)
+    docs = [bytearray(bson.encode({"k": k, "s": "t" * 9})) for k in range(40)]
+    docs[1][4] = 0x55  # an unknown type
+    docs[7][0:4] = b"\xff\xff\xff\x7f"  # a length that can't be
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.bson").write_bytes(b"".join(docs))
+    for split in (0, 200):
+        got = spark.read.format("vellum-bson").schema("k int").option("mode", "PERMISSIVE").option("splitBytes", split).load(str(tmp_path / "bad"))
+        assert values(got, "k") == [(k,) for k in range(40) if k not in (1, 7)]
+    assert values(backup.read(spark, str(tmp_path / "bad"), got.schema, lenient=True), "k") == values(got, "k")
+    with pytest.raises(Exception):
+        backup.read(spark, str(tmp_path / "bad"), got.schema).collect()
+
+
+def test_bucket(spark, tmp_path):
+    b = gridfs.Bucket(Engine(spark, str(tmp_path)).database("shop"), chunk_size=5)
+    data = bytes(range(23))
+    id = b.upload("a.bin", data, contentType="x/y", metadata={"k": "v"}, aliases=["z"])
+    found = b.find_one({"filename": "a.bin"})
+    assert (found["_id"], found["length"], found["contentType"], found["metadata"], found["aliases"]) == (id, 23, "x/y", {"k": "v"}, ["z"])
+    s = b.open_download(id)
+    assert s.read(3) == data[:3] and s.read(9) == data[3:12] and s.seek(-2, 2) == 21 and s.read() == data[21:] and s.read() == b""
+    assert s.seek(4) == 4 and s.read(1) == data[4:5] and s.tell() == 5
+    with pytest.raises(ValueError):
+        s.seek(24)
+    b.rename(id, "b.bin")
+    later = b.upload("b.bin", b"")
+    assert b.open_download_by_name("b.bin").file["_id"] == later and b.open_download(later).read() == b""
+    import io
+
+    out = io.BytesIO()
+    assert b.download(id, out) == 23 and out.getvalue() == data
+    with pytest.raises(KeyError):
+        with b.open_upload("c.bin") as up:
+            up.write(b"abc")
+            raise KeyError
+    b.add(spark.createDataFrame([(7, b"0123456789ab"), (8, b"")], "id int, raw binary"), "id", "raw")
+    assert b.open_download("7").read() == b"0123456789ab" and b.open_download("8").read() == b""
+    b.delete(id)
+    b.delete_by_name("b.bin")
+    assert values(b.find(), "filename") == [("7",), ("8",)] and values(b.chunks.rows(), "files_id") == [("7",)] * 3
+    with pytest.raises(FileNotFoundError):
+        b.open_download(id)
+    b.drop()
+    assert b.files.count() == 0
+
+
+def test_shell(spark, tmp_path):
+    from vellum.sources import shell
+
+    assert shell.parse("") == {} and shell.parse("{}") == {}
+    got = shell.parse("""{name: 'Ann "x"', "a b": [1, -2.5, 3e2, null, true,], n: {$gt: 9999999999} on: $set, r: /^a\\/b/i, d: {"$date": "2020-01-02T03:04:05Z"},
+        id: ObjectId("0123456789ABCDEF01234567"), l: NumberLong("7"), o: {"$numberLong": "8"}, w: new Date("2020-01-01"), u: "\\u00e9\\n"}""")
+    assert got == {
+        "name": 'Ann "x"', "a b": [1, -2.5, 300.0, None, True], "n": {"$gt": 9999999999}, "on": "$set", "r": {"$regex": "^a\\/b", "$options": "i"}, "d": dt.datetime(2020, 1, 2, 3, 4, 5, tzinfo=dt.timezone.utc),
+        "id": "0123456789abcdef01234567", "l": 7, "o": 8, "w": dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc), "u": "é\n",
+    }
+    for bad in ("{a}", "{a: }", "{a: 1", "[1]", "{a: foo}", "{a: 1} x", "{a: ObjectId('1')}", "{a: 'x}"):
+        with pytest.raises(SpecError):
+            shell.parse(bad)
+    s = shell.Shell(Engine(spark, str(tmp_path)))
+    assert s.run("use shop") == "shop" and s.run("show collections") == []
+    assert s.run("db.people.insert([{_id: 'a', age: 30}, {_id: 'b', age: 40}]);") == 2
+    s.run("db.people.update({_id: 'a'}, {$inc: {age: 1}})")
+    s.run("db.people.insert({_id: 'c', age: 5})")
+    s.run("db.people.delete({age: {$lt: 10}})")
+    assert values(s.run("db.people.find({age: {$gte: 31}})"), "_id", "age") == [("a", 31), ("b", 40)] and s.run("db.people.count()") == 2
+    assert s.run("db.people.findOne({_id: 'b'})")["age"] == 40 and s.run("show dbs") == ["shop"]
+    assert s.run("db.people.aggregate([{$group: {_id: null, n: {$sum: 1}}}])").first()["n"] == 2
+    s.run("db.people.drop()")
+    assert s.run("show collections") == []
+    with pytest.raises(SpecError):
+        s.run("db.people.explode()")

@@ -229,10 +229,9 @@ def _within(col: Column, kind: T.DataType | None, x: Any, _: Any) -> Column:
 
 
 def _text(value: Any, scope: Scope) -> Column:
-    if not isinstance(value, dict) or not isinstance(value.get("$search"), str):
-        raise SpecError("$text needs {$search: words}")
+    query = text.parse_text_query(value)
     fields = [f.name for f in scope.schema.fields if isinstance(f.dataType, T.StringType)]
-    return text.match_all([scope.top(f)[0] for f in fields], value["$search"])
+    return text.match_all([scope.top(f)[0] for f in fields], query.search)
 
 
 OPERATORS = {

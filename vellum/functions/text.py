@@ -7,7 +7,9 @@ a table of them can be made.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.errors import SpecError
 from vellum.shipping import ship
 
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or over such that the their then there these they this to was will with".split())
@@ -191,10 +194,6 @@ def words_of_stem(stem: str) -> list[str]:
     return [w for w in dict.fromkeys(made) if stem_word(w) == stem]
 
 
-def _whole_words(words: list[str]) -> str:
-    return "(?<![\\p{L}\\p{N}])(?:" + "|".join(words) + ")(?![\\p{L}\\p{N}])"
-
-
 def search(df: DataFrame, key: str, field: str, query: str, limit: int | None = None) -> DataFrame:
     """(key, score) by falling score: the sum of tf (ln(N / df) + 1) over the query's words, each as often as it is there."""
     import re
@@ -202,20 +201,64 @@ def search(df: DataFrame, key: str, field: str, query: str, limit: int | None =
     wanted: dict[str, int] = {}
     for w in re.findall(r"[^\W_]+", query.lower()):
         wanted[stem_word(w)] = wanted.get(stem_word(w), 0) + 1
-    wanted = {w: n for w, n in wanted.items() if words_of_stem(w)}
-    if not wanted:
+    words = {w: words_of_stem(w) for w in wanted if words_of_stem(w)}
+    if not words:
         return df.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
-    # A stem comes from few words, so that these are counted in the text, and no text is cut into words.
+    # A stem comes from few words: of a text's words only these are kept, and none is stemmed. The exchange below them is
+    # used twice, for the documents' counts and for the stems', so that the texts are read and cut into words once.
     lower = F.lower(F.col(field))
-    counts = df.select(F.col(key), *(F.regexp_count(lower, F.lit(_whole_words(words_of_stem(w)))).alias(f"tf{i}") for i, w in enumerate(wanted)))
-    totals = counts.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
+    some = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(os.path.commonprefix(ws))) for ws in words.values()))
+    found = df.filter(some).select(F.col(key), F.explode(F.split(lower, r"[^\p{L}\p{N}]+")).alias("w")).filter(F.col("w").isin(*(w for ws in words.values() for w in ws)))
+    counts = found.groupBy(key).agg(*(F.count_if(F.col("w").isin(*ws)).alias(f"tf{i}") for i, ws in enumerate(words.values())))
+    totals = counts.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words)))).crossJoin(df.agg(F.count(F.lit(1)).alias("n")))
     joined = counts.crossJoin(F.broadcast(totals))  # one row
-    parts = [F.when(F.col(f"tf{i}") > 0, F.col(f"tf{i}") * (F.log(F.col("n") / F.col(f"df{i}")) + 1) * m).otherwise(0.0) for i, m in enumerate(wanted.values())]
-    out = joined.filter(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(wanted)))))
-    out = out.select(key, reduce(lambda a, b: a + b, parts).alias("score")).orderBy(F.desc("score"), key)
+    parts = [F.when(F.col(f"tf{i}") > 0, F.col(f"tf{i}") * (F.log(F.col("n") / F.col(f"df{i}")) + 1) * wanted[w]).otherwise(0.0) for i, w in enumerate(words)]
+    out = joined.select(key, reduce(lambda a, b: a + b, parts).alias("score")).orderBy(F.desc("score"), key)
     return out if limit is None else out.limit(limit)
 
 
+@dataclass(frozen=True)
+class TextQuery:
+    """What ``$text`` asks for; words are compared in lower case and as they are spelt, whatever the flags say."""
+
+    search: str
+    language: str | None = None
+    case_sensitive: bool = False
+    diacritic_sensitive: bool = False
+
+
+def parse_text_query(spec: dict) -> TextQuery:
+    if not isinstance(spec, dict) or not isinstance(spec.get("$search"), str) or not spec["$search"]:
+        raise SpecError("$text needs {$search: words}")
+    if unknown := spec.keys() - {"$search", "$language", "$caseSensitive", "$diacriticSensitive"}:
+        raise SpecError(f"unknown in $text: {sorted(unknown)}")
+    flags = {"case_sensitive": spec.get("$caseSensitive", False), "diacritic_sensitive": spec.get("$diacriticSensitive", False)}
+    if not all(isinstance(v, bool) for v in flags.values()):
+        raise SpecError("the flags of $text are true or false")
+    return TextQuery(spec["$search"], spec.get("$language"), **flags)
+
+
+class SearchCollection:
+    """Ranked search in one field of a table; numbers are searched as they are written, other kinds hold no words."""
+
+    def __init__(self, df: DataFrame, key: str, field: str):
+        if not isinstance(df.schema[field].dataType, (T.StringType, T.IntegralType, T.DoubleType, T.FloatType)):
+            df = df.withColumn(field, F.lit(""))
+        self.df, self.key, self.field = df.withColumn(field, F.coalesce(F.col(field).cast("string"), F.lit(""))), key, field
+
+    def search(self, query: str | dict, limit: int | None = None, offset: int = 0, least: float = 0.0, snippets: bool = False) -> DataFrame:
+        """(key, score, and with ``snippets`` the text around the first word) by falling score, those of at least ``least``."""
+        words = parse_text_query(query).search if isinstance(query, dict) else query
+        out = search(self.df, self.key, self.field, words).filter(F.col("score") >= least)
+        out = out.orderBy(F.desc("score"), self.key)
+        out = out.offset(offset) if offset else out
+        out = out if limit is None else out.limit(limit)
+        if snippets:
+            texts = self.df.select(F.col(self.key).alias("__key"), snippet(F.col(self.field), words).alias("snippet"))
+            out = out.join(texts, out[self.key] == F.col("__key")).drop("__key").orderBy(F.desc("score"), self.key)
+        return out
+
+
 def snippet(text: Column, query: str, before: int = 50, after: int = 100) -> Column:
     """The text around the first query word that is in it; its beginning where none is."""
     import re
@@ -231,13 +274,21 @@ def snippet(text: Column, query: str, before: int = 50, after: int = 100) -> Col
 
 
 def prefix_tfidf(df: DataFrame, key: str, fields: list[str], query: str, n_docs: int = 1000, limit: int | None = None) -> DataFrame:
-    """(key, score) by relative term frequency times ln(n_docs / (df + 1)), over stemmed words equal to the query's."""
+    """(key, score) by relative term frequency times ln(n_docs / (df + 1)), over stemmed words equal to the query's.
+
+    df counts every posting whose term begins with the query's word, so that "cat" is as frequent as "category" makes it.
+    """
     wanted = query_tokens(query)
     ship(df.sparkSession)
     words = df.select(F.col(key), porter_stems(index_tokens(F.concat_ws(" ", *fields), unicode=True)).alias("w")).filter(F.size("w") > 0)
-    hits = words.select(key, F.size("w").alias("n"), F.explode("w").alias("term")).filter(F.col("term").isin(*wanted) if wanted else F.lit(False))
+    begins = reduce(lambda a, b: a | b, (F.startswith("term", F.lit(w)) for w in wanted)) if wanted else F.lit(False)
+    hits = words.select(key, F.size("w").alias("n"), F.explode("w").alias("term")).filter(begins)
     tf = hits.groupBy(key, "term", "n").agg(F.count(F.lit(1)).alias("c"))
-    freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    out = tf.join(F.broadcast(freq), "term").groupBy(key).agg(F.sum(F.col("c") / F.col("n") * F.log(F.lit(float(n_docs)) / (F.col("df") + 1))).alias("score"))
+    freq = tf.agg(F.count(F.lit(1)).alias("__all"), *(F.count_if(F.startswith("term", F.lit(w))).alias(f"__df{i}") for i, w in enumerate(wanted)))
+    df_of = F.lit(None).cast("long")
+    for i, w in enumerate(wanted):
+        df_of = F.when(F.col("term") == w, F.col(f"__df{i}")).otherwise(df_of)
+    exact = tf.filter(F.col("term").isin(*wanted) if wanted else F.lit(False)).crossJoin(F.broadcast(freq))  # one row
+    out = exact.groupBy(key).agg(F.sum(F.col("c") / F.col("n") * F.log(F.lit(float(n_docs)) / (df_of + 1))).alias("score"))
     out = out.orderBy(F.desc("score"), key)
     return out if limit is None else out.limit(limit)

@@ -29,7 +29,7 @@ def write(df: DataFrame, path: str, form: str = "bson", gzip: bool = False) -> D
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, form: str = "bson", array: bool = False, lenient: bool = False) -> DataFrame:
-    """Reads a backup; ``array``: JSON files that hold an array each; ``lenient``: damaged documents become gaps."""
+    """Reads a backup; ``array``: JSON files that hold an array each; ``lenient``: damaged documents, and only these, are left out."""
     if form == "bson":
         bson.register(spark)
         return spark.read.format("vellum-bson").schema(schema).option("mode", "PERMISSIVE" if lenient else "FAILFAST").load(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -224,27 +225,155 @@ def _fit(v: Any, kind: T.DataType) -> Any:
     return None
 
 
-class _File(InputPartition):
+#: Bytes of a plain file that one task reads; documents that a batch of rows is made of; the greatest document.
+SPLIT_BYTES, BATCH, LARGEST = 64 << 20, 2_000, 48 << 20
+_KINDS = frozenset([*range(0x01, 0x14), 0x7F, 0xFF])
+_DAMAGE = (ValueError, struct.error, IndexError, OverflowError, RecursionError)
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, start: int, end: int | None):
+        self.path, self.start, self.end = path, start, end
+
+
+class _Source:
+    """A file's bytes from any place on, with some read ahead; compressed files only go forward."""
+
     def __init__(self, path: str):
-        self.path = path
+        import gzip
+
+        files, name = _open(path)
+        self.plain = not path.endswith(".gz")
+        self.file = files.open_input_file(name)
+        self.stream = None if self.plain else gzip.GzipFile(fileobj=self.file)
+        self.size = self.file.size() if self.plain else None
+        self.at, self.held = 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """Up to n bytes at a place."""
+        if not self.at <= at <= self.at + len(self.held):
+            if self.plain or at < self.at:
+                self.at, self.held = at, b""
+        have = self.at + len(self.held) - at
+        if have < n:
+            more = max(n - have, 1 << 20)
+            rest = self.held[at - self.at :]
+            if self.plain:
+                self.file.seek(at + len(rest))
+            self.held = rest + ((self.file if self.plain else self.stream).read(more) or b"")
+            self.at = at
+        return self.held[at - self.at : at - self.at + n]
+
+    def document(self, at: int) -> bytes | None:
+        """The bytes that the length at a place claims; None at the end; ValueError where it can't be."""
+        head = self.get(at, 4)
+        if not head:
+            return None
+        n = struct.unpack("<i", head)[0] if len(head) == 4 else 0
+        if not 5 <= n <= LARGEST:
+            raise ValueError("a damaged document")
+        raw = self.get(at, n)
+        if len(raw) < n or raw[-1] != 0:
+            raise ValueError("a damaged document")
+        return raw
+
+    def next_start(self, at: int, chain: int = 8) -> int | None:
+        """The first place from here on where documents begin, judged by a row of them that can be read; None if there's none."""
+        while True:
+            raw = self.get(at, 1 << 16)
+            if len(raw) < 5:
+                return None
+            for k in range(len(raw) - 4):
+                n = int.from_bytes(raw[k : k + 4], "little", signed=True)
+                if 5 <= n <= LARGEST and (raw[k + 4] in _KINDS or n == 5) and self._chain(at + k, chain):
+                    return at + k
+            at += len(raw) - 4
+
+    def _chain(self, at: int, left: int) -> bool:
+        try:
+            while left and (raw := self.document(at)) is not None:
+                decode(raw)
+                at, left = at + len(raw), left - 1
+        except _DAMAGE:
+            return False
+        return True
 
 
 class BsonReader(DataSourceReader):
+    """Plain files are cut at about ``splitBytes``: a task begins with the first document from its cut on, and makes sure that its
+    last one ends where the next task begins. Compressed files are read by one task each, in a stream. With a mode other than
+    FAILFAST a damaged document is left out; where its length is damaged too, reading goes on with the next document found.
+    """
+
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.options = schema, options
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in list_files(self.options["path"], (".bson", ".bson.gz"))]
+        split, out = int(self.options.get("splitbytes", self.options.get("splitBytes", SPLIT_BYTES))), []
+        for p in list_files(self.options["path"], (".bson", ".bson.gz")):
+            files, name = _open(p)
+            size = files.get_file_info(name).size
+            cuts = [0, *range(split, size, split)] if p.endswith(".bson") and split > 0 else [0]
+            out += [_Part(p, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
+        return out
+
+    def read(self, partition: InputPartition) -> Iterator[Any]:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
         lenient = self.options.get("mode", "FAILFAST").upper() != "FAILFAST"
-        try:
-            for raw in documents(read_bytes(partition.path)):
+        schema = to_arrow_schema(self.schema)
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        for doc in self._documents(partition, lenient):
+            rows.append(tuple(_fit_arrow(doc.get(f.name), f.dataType) for f in self.schema.fields))
+            if len(rows) == BATCH:
+                yield batch()
+                rows = []
+        if rows:
+            yield batch()
+
+    def _documents(self, part: InputPartition, lenient: bool) -> Iterator[dict]:
+        source = _Source(part.path)
+        at = source.next_start(part.start) if part.start else 0
+        end = part.end
+        while at is not None and (end is None or at < end):
+            try:
+                raw = source.document(at)
+                if raw is None:
+                    return
+            except _DAMAGE:
+                if not lenient:
+                    raise
+                at = source.next_start(at + 1)
+                continue
+            at += len(raw)
+            try:
                 doc = decode(raw)
-                yield tuple(_fit(doc.get(f.name), f.dataType) for f in self.schema.fields)
-        except (ValueError, struct.error, IndexError):
-            if not lenient:
-                raise
+            except _DAMAGE:
+                if not lenient:
+                    raise
+                continue
+            yield doc
+        if end is not None and not lenient and at != source.next_start(end) and source.document(at) is not None:
+            raise ValueError(f"{part.path} can't be cut at {end}: read it with splitBytes=0")
+
+
+def _fit_arrow(v: Any, kind: T.DataType) -> Any:
+    """``_fit`` for Arrow, which takes structs by name."""
+    v = _fit(v, kind)
+
+    def named(x: Any, k: T.DataType) -> Any:
+        if x is None:
+            return None
+        if isinstance(k, T.StructType):
+            return {f.name: named(y, f.dataType) for f, y in zip(k.fields, x)}
+        return [named(y, k.elementType) for y in x] if isinstance(k, T.ArrayType) else x
+
+    return named(v, kind)
 
 
 @dataclass
@@ -258,6 +387,7 @@ class BsonWriter(DataSourceWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.gzip, self.overwrite = options["path"], options.get("compression", "") == "gzip", overwrite
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, iterator) -> WriterCommitMessage:
         import gzip
@@ -270,31 +400,36 @@ class BsonWriter(DataSourceWriter):
         end = ".bson.gz" if self.gzip else ".bson"
         temporary = f"{root}/.tmp-{context.partitionId()}-{context.taskAttemptId()}"
         some = False
-        with files.open_output_stream(temporary) as raw:
+        with files.open_output_stream(temporary, compression=None) as raw:
             out = gzip.GzipFile(fileobj=raw, mode="wb", mtime=0) if self.gzip else raw
             for row in iterator:
                 some = True
                 out.write(encode({k: v for k, v in _unrow(row).items() if v is not None}))
             if self.gzip:
                 out.close()
-        return _Done(temporary, f"{root}/part-{context.partitionId():05d}{end}" if some else None)
+        return _Done(temporary, f"{root}/part-{context.partitionId():05d}-{self.job}{end}" if some else None)
 
     def commit(self, messages) -> None:
         files, root = _open(self.path)
-        if self.overwrite:
-            for p in list_files(self.path, (".bson", ".bson.gz")):
-                files.delete_file(_open(p)[1])
+        files.create_dir(root, recursive=True)
+        old = list_files(self.path, (".bson", ".bson.gz")) if self.overwrite else []
         for m in messages:
             if m.final is None:
                 files.delete_file(m.temporary)
             else:
                 files.move(m.temporary, m.final)
+        # The old files go when the new ones are there: a writer that is lost in between leaves too many rows, never too few.
+        for p in old:
+            files.delete_file(_open(p)[1])
 
     def abort(self, messages) -> None:
         files, _ = _open(self.path)
         for m in messages:
             if m is not None and m.temporary:
-                files.delete_file(m.temporary)
+                try:
+                    files.delete_file(m.temporary)
+                except FileNotFoundError:
+                    pass
 
 
 def _unrow(v: Any) -> Any:
@@ -340,15 +475,6 @@ def list_files(path: str, ends: tuple[str, ...]) -> list[str]:
     return sorted(scheme + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(ends) and not f.base_name.startswith("."))
 
 
-def read_bytes(path: str) -> bytes:
-    import gzip
-
-    files, name = _open(path)
-    with files.open_input_file(name) as f:
-        raw = f.read()
-    return gzip.decompress(raw) if path.endswith(".gz") else raw
-
-
 def register(spark) -> None:
     from vellum.shipping import ship
 
