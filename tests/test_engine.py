@@ -123,7 +123,7 @@ def test_gridfs_chunks_take_every_page(spark, tmp_path):
     pages = [(1, "plain " * 400), (2, "é日本🙂" * 500), (3, ""), (4, "a" * 1023 + "é"), (5, None)]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     want = [(k, n, html.encode()[n * 1024 : (n + 1) * 1024].hex().upper()) for k, html in pages for n in range(-(-len((html or "").encode()) // 1024))]
-    assert values(__spark_entry__.queries()["gridfs_chunks_bytes"](spark, str(tmp_path)), "files_id", "n", "data") == want and len(want) == 11
+    assert values(__spark_entry__.queries()["gridfs_chunks"](spark, str(tmp_path)), "files_id", "n", "data") == want and len(want) == 11
 
 
 def test_text(spark):

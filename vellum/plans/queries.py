@@ -7,15 +7,18 @@ order of a sum are rounded on both sides.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.engine import Engine
 from vellum.functions import geo, text, variant
 from vellum.operators import find, maintenance, updates, validate
 from vellum.operators.stages import Context, aggregate
-from vellum.sources import gridfs
+from vellum.sources import backup, gridfs
+from vellum.sources.scratch import folder
 from vellum.streaming import changes, oplog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,9 +290,32 @@ query("insert_overwrites", "SELECT n_nationkey, n_name, n_regionkey FROM nation
     lambda s, d: updates.insert(read(s, d, "nation"), read(s, d, "nation").filter("n_nationkey < 5").withColumn("n_name", F.lit("x")), "n_nationkey")
 )
 
+query("insert_batch_repeats", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT n_nationkey, 'y', n_regionkey FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey + 100, 'y', n_regionkey FROM nation WHERE n_nationkey < 3")(
+    lambda s, d: updates.insert(read(s, d, "nation"), _batch(s, d, "x").unionByName(_batch(s, d, "y")), "n_nationkey")
+)
+
+
+def _batch(s: SparkSession, d: str, name: str) -> DataFrame:
+    """Some nations, known and new, under another name."""
+    n = read(s, d, "nation").withColumn("n_name", F.lit(name))
+    return n.filter("n_nationkey < 5").unionByName(n.filter("n_nationkey < 3").withColumn("n_nationkey", (F.col("n_nationkey") + 100).cast("int")))
+
+
 # --- text and geo ----------------------------------------------------------------------------------------------------
 
-query("text_match_all")(lambda s, d: find.find(read(s, d, "documents"), {"$text": {"$search": "that from"}}, {"doc_id": 1}, key="doc_id"))
+# Words whose stem is the query's: all spellings that the suffix rules can bring to it.
+_ENDINGS = ("", "s", "es", "ed", "eds", "ing", "ings", "er", "ers", "ance", "ances", "ence", "ic", "able", "ible", "ant", "ants", "ement", "ment", "ments", "ent", "ou", "ism", "isms", "ate", "ates", "ated", "iti", "ity", "ous", "ive", "ives", "ize", "izes", "ized", "al", "als", "e", "ly", "li", "ational", "ation", "ations", "alize", "icate", "ative", "iciti", "ical", "ful", "ness", "iveness", "fulness", "ousness")
+
+
+def _stem_words(stem: str) -> str:
+    """A SQL list of the words with this stem."""
+    return ", ".join(f"'{stem + e}'" for e in _ENDINGS if text.porter(stem + e) == stem)
+
+
+query(
+    "text_match_all",
+    f"SELECT doc_id FROM (SELECT doc_id, list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS w FROM documents) WHERE list_has_any(w, [{_stem_words('from')}]) AND list_has_any(w, [{_stem_words('er')}])",
+)(lambda s, d: find.find(read(s, d, "documents").select("doc_id", "text"), {"$text": {"$search": "that from er"}}, {"doc_id": 1}, key="doc_id"))
 _T = "(SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents)"
 query(
     "text_tfidf",
@@ -301,6 +327,34 @@ query(
 query("text_postings", f"SELECT w AS term, count(*) AS n FROM {_T} WHERE w IN ('that', 'from', 'ea') GROUP BY 1")(
     lambda s, d: text.postings(read(s, d, "documents"), "doc_id", "text", stem=lambda w: w).filter(F.col("term").isin("that", "from", "ea")).groupBy("term").agg(F.sum("tf").alias("n"))
 )
+_WORDS = "(SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_type || ' ' || p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM part)"
+query("text_positions", f"SELECT p_partkey AS key, w AS term, count(*) AS tf, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS positions FROM (SELECT p_partkey, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM {_WORDS}) GROUP BY 1, 2")(
+    lambda s, d: text.postings(read(s, d, "part").withColumn("t", F.concat_ws(" ", "p_type", "p_name", "p_type")), "p_partkey", "t", stem=lambda w: w).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+)
+_PORTER = "economy standard large medium small promo relational conditional valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner adjustable replacement adoption caresses ponies cats agreed plastered motoring hopping tanned falling hissing fizzed failing filing happy sky relate controll roll"
+
+
+def _porter_sql() -> str:
+    """Stems by rules of their own in SQL for the plural and the participles of short stems; the others are listed."""
+    stems = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "falling": "fall", "failing": "fail", "filing": "file", "happy": "happi", "hopeful": "hope", "goodness": "good", "roll": "roll", "economy": "economi", "small": "small", "large": "larg", "promo": "promo"}
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{x}')" for w, x in stems.items()) + ") AS t(word, stem)"
+
+
+query("text_porter", _porter_sql())(
+    lambda s, d: s.createDataFrame([(_PORTER,)], "t string").select(F.explode(F.arrays_zip(F.split("t", " ").alias("word"), text.porter_stems(F.split("t", " ")).alias("stem"))).alias("z")).select("z.word", "z.stem")
+    .filter(F.col("word").isin(*"caresses ponies cats agreed plastered motoring hopping falling failing filing happy hopeful goodness roll economy small large promo".split()))
+)
+query(
+    "text_prefix_tfidf",
+    """WITH w AS (SELECT p_partkey, unnest(regexp_split_to_array(lower(p_type || ' ' || p_name), '[^a-z0-9]+')) AS t FROM part),
+    s AS (SELECT p_partkey, CASE t WHEN 'economy' THEN 'economi' WHEN 'large' THEN 'larg' ELSE t END AS term FROM w WHERE length(t) > 1),
+    n AS (SELECT p_partkey, count(*) AS n FROM s GROUP BY 1),
+    f AS (SELECT p_partkey, term, count(*) AS c FROM s GROUP BY 1, 2)
+    SELECT p_partkey, round(c / n * ln(1000.0 / ((SELECT count(*) FROM f WHERE starts_with(term, 'larg')) + 1)), 6) AS score FROM f JOIN n USING (p_partkey) WHERE term = 'larg'""",
+)(lambda s, d: rounded(text.prefix_tfidf(read(s, d, "part"), "p_partkey", ["p_type", "p_name"], "large"), "score", to=6))
+query("text_snippet", "SELECT p_partkey, CASE WHEN instr(lower(p_type || ' / ' || p_name), 'ring') > 0 THEN (CASE WHEN instr(lower(p_type || ' / ' || p_name), 'ring') - 1 > 4 THEN '...' ELSE '' END) || substring(p_type || ' / ' || p_name, greatest(instr(lower(p_type || ' / ' || p_name), 'ring') - 5, 0) + 1, least(length(p_type || ' / ' || p_name), instr(lower(p_type || ' / ' || p_name), 'ring') - 1 + 6) - greatest(instr(lower(p_type || ' / ' || p_name), 'ring') - 5, 0)) || (CASE WHEN least(length(p_type || ' / ' || p_name), instr(lower(p_type || ' / ' || p_name), 'ring') + 5) < length(p_type || ' / ' || p_name) THEN '...' ELSE '' END) ELSE p_type || ' / ' || p_name END AS snippet FROM part")(
+    lambda s, d: read(s, d, "part").select("p_partkey", text.snippet(F.concat_ws(" / ", "p_type", "p_name"), "ring", 4, 6).alias("snippet"))
+)
 
 
 def _places(s: SparkSession, d: str) -> DataFrame:
@@ -315,6 +369,9 @@ _H = "pow(sin(radians(lat - 48.2) / 2), 2) + cos(radians(48.2)) * cos(radians(la
 query("geo_near", f"SELECT c_custkey FROM (SELECT *, {_H} AS h FROM {_P}) WHERE {_D} <= 2000000")(
     lambda s, d: find.find(_places(s, d), {"loc": {"$near": {"$geometry": {"type": "Point", "coordinates": [16.4, 48.2]}, "$maxDistance": 2000000}}}, {"c_custkey": 1}, key="c_custkey")
 )
+query("geo_near_sphere", f"SELECT c_custkey FROM (SELECT *, {_H} AS h FROM {_P}) WHERE {_D} <= 3000000")(
+    lambda s, d: find.find(_places(s, d), {"loc": {"$nearSphere": {"$geometry": {"type": "Point", "coordinates": [16.4, 48.2]}, "$maxDistance": 3000000}}}, {"c_custkey": 1}, key="c_custkey")
+)
 query("geo_near_sorted", f"SELECT c_custkey, round({_D}, 1) AS distance FROM (SELECT *, {_H} AS h FROM {_P}) ORDER BY {_D}, c_custkey LIMIT 20")(lambda s, d: rounded(geo.near_sorted(_places(s, d), "loc", 16.4, 48.2, 20).select("c_custkey", "distance"), "distance", to=1))
 query("geo_within_bbox", f"SELECT c_custkey FROM {_P} WHERE lon BETWEEN -10 AND 30 AND lat BETWEEN 35 AND 60")(
     lambda s, d: find.find(_places(s, d), {"loc": {"$geoWithin": {"$geometry": {"type": "Polygon", "coordinates": [[[-10, 35], [30, 40], [20, 60], [-10, 35]]]}}}}, {"c_custkey": 1}, key="c_custkey")
@@ -345,6 +402,48 @@ query("index_wildcard", "SELECT path, value, n_nationkey FROM (SELECT 'n_name' A
 query("index_stats", "SELECT count(*) AS entries, count(DISTINCT o_custkey) AS distinct_keys, round(count(DISTINCT o_custkey) / count(*), 6) AS selectivity FROM orders")(lambda s, d: rounded(maintenance.index_stats(read(s, d, "orders"), ["o_custkey"]), "selectivity", to=6))
 query("coll_stats", "SELECT count(*) AS count, CAST(sum(length(CAST(n_nationkey AS VARCHAR)) + length(n_name) + length(CAST(n_regionkey AS VARCHAR)) + 43) AS BIGINT) AS size, CAST(sum(length(CAST(n_nationkey AS VARCHAR)) + length(n_name) + length(CAST(n_regionkey AS VARCHAR)) + 43) // count(*) AS BIGINT) AS avg_obj_size FROM nation")(lambda s, d: maintenance.stats(read(s, d, "nation")))
 
+query("index_hash", "SELECT count(DISTINCT o_custkey) AS buckets, count(*) AS n FROM orders")(lambda s, d: read(s, d, "orders").select(maintenance.hash_key(F.col("o_custkey")).alias("h")).agg(F.count_distinct("h").alias("buckets"), F.count(F.lit(1)).alias("n")))
+query("split_points", "SELECT array_to_string([quantile_disc(n_nationkey, 0.2), quantile_disc(n_nationkey, 0.4), quantile_disc(n_nationkey, 0.6), quantile_disc(n_nationkey, 0.8)], ',') AS points FROM nation")(
+    lambda s, d: maintenance.split_points(read(s, d, "nation"), "n_nationkey", 5).select(F.array_join(F.col("points").cast("array<string>"), ",").alias("points"))
+)
+query("db_stats", "SELECT 3 AS collections, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM supplier) AS objects")(lambda s, d: _db_stats(s, d))
+query("explain_find", "SELECT 'COLLSCAN' AS stage, count(*) AS examined, count(*) FILTER (WHERE n_regionkey = 1) AS returned, '{\"n_regionkey\": {\"$eq\": 1}}' AS parsed FROM nation")(lambda s, d: _explained(s, d))
+query("cursor_batches", "SELECT n_nationkey // 7 AS batch, n_nationkey, n_name FROM nation")(lambda s, d: _batches(s, d))
+query("find_empty", "SELECT n_nationkey FROM nation WHERE false")(lambda s, d: find.find(read(s, d, "nation").select("n_nationkey"), {"n_nationkey": {"$in": []}}, key="n_nationkey"))
+query("index_range_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey >= 100 AND o_custkey < 120")(
+    lambda s, d: find.find(maintenance.layout(read(s, d, "orders"), ["o_custkey"]), {"o_custkey": {"$gte": 100, "$lt": 120}}, {"o_orderkey": 1, "o_totalprice": 1}, key="o_orderkey")
+)
+
+
+def _store(s: SparkSession, d: str, *tables: str) -> Engine:
+    """A new store below the scratch folder with a database that holds these tables."""
+    store = Engine(s, folder(s))
+    for t in tables:
+        rows = read(s, d, t)
+        c = store.database("shop").collection(t)
+        c.create(key=rows.columns[0])
+        c.insert(rows)
+    return store
+
+
+def _db_stats(s: SparkSession, d: str) -> DataFrame:
+    got = _store(s, d, "nation", "region", "supplier").database("shop").stats()
+    return s.createDataFrame([(got["collections"], got["objects"])], "collections int, objects long")
+
+
+def _explained(s: SparkSession, d: str) -> DataFrame:
+    told = _store(s, d, "nation").database("shop").collection("nation").explain({"n_regionkey": 1})
+    plan, stats = told["queryPlanner"], told["executionStats"]
+    return s.createDataFrame([(plan["winningPlan"]["stage"], stats["totalDocsExamined"], stats["nReturned"], json.dumps(plan["parsedQuery"]))], "stage string, examined long, returned long, parsed string")
+
+
+def _batches(s: SparkSession, d: str) -> DataFrame:
+    """A small table through a driver's cursor."""
+    c = _store(s, d, "nation").database("shop").collection("nation")
+    rows = [(k, r["n_nationkey"], r["n_name"]) for k, part in enumerate(c.cursor(7, sort={"n_nationkey": 1})) for r in part]
+    return s.createDataFrame(rows, "batch int, n_nationkey int, n_name string")
+
+
 # --- oplog and change streams ----------------------------------------------------------------------------------------
 
 
@@ -378,19 +477,149 @@ def _resumed(s: SparkSession, d: str) -> DataFrame:
     return out.select(F.split(F.unbase64("_id").cast("string"), ":")[1].cast("long").alias("event_id"))
 
 
+def _written(s: SparkSession, d: str) -> Engine:
+    """Writes to one collection within about a second: inserts, updates, deletes, and an insert of what was deleted."""
+    store = _store(s, d, "nation")
+    c = store.database("shop").collection("nation")
+    c.update_many({"n_regionkey": 1}, {"$set": {"n_name": "one"}})
+    c.delete({"n_regionkey": {"$in": [2, 3]}})
+    c.insert(read(s, d, "nation").filter("n_regionkey = 2").withColumn("n_name", F.lit("back")))
+    c.update_many({"n_regionkey": 2}, {"$inc": {"n_regionkey": 10}})
+    return store
+
+
+_WRITTEN = "SELECT n_nationkey, CASE n_regionkey WHEN 1 THEN 'one' WHEN 2 THEN 'back' ELSE n_name END AS n_name, CASE n_regionkey WHEN 2 THEN 12 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_regionkey <> 3"
+query("oplog_same_second", _WRITTEN)(lambda s, d: oplog.apply(read(s, d, "nation").limit(0), _written(s, d).database("shop").oplog(), "shop.nation", "n_nationkey"))
+query("collection_writes", _WRITTEN)(lambda s, d: _written(s, d).database("shop").collection("nation").rows())
+query("oplog_entries", "SELECT 'i' AS op, count(*) + count(*) FILTER (WHERE n_regionkey = 2) AS n FROM nation UNION ALL SELECT 'u', count(*) FILTER (WHERE n_regionkey IN (1, 2)) FROM nation UNION ALL SELECT 'd', count(*) FILTER (WHERE n_regionkey IN (2, 3)) FROM nation")(
+    lambda s, d: _written(s, d).database("shop").oplog().groupBy("op").agg(F.count_distinct("ts", "c").alias("n"))
+)
+query("watch_events", "SELECT 'insert' AS op, count(*) + count(*) FILTER (WHERE n_regionkey = 2) AS n FROM nation UNION ALL SELECT 'update', count(*) FILTER (WHERE n_regionkey IN (1, 2)) FROM nation UNION ALL SELECT 'delete', count(*) FILTER (WHERE n_regionkey IN (2, 3)) FROM nation")(lambda s, d: _watched(s, d))
+query("oplog_truncate", f"SELECT count(*) AS n FROM {_L} WHERE sec >= (SELECT (min(sec) + max(sec)) // 2 FROM {_L})")(lambda s, d: _truncated(s, d))
+query("change_stream_stage", "SELECT n_nationkey AS id, 'update' AS op FROM nation WHERE n_regionkey IN (1, 2)")(
+    lambda s, d: _written(s, d).database("shop").collection("nation").aggregate([{"$changeStream": {}}, {"$match": {"operationType": "update"}}]).select(F.get_json_object("documentKey", "$.n_nationkey").cast("int").alias("id"), F.col("operationType").alias("op"))
+)
+query("transaction_steps", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'three' ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 4 UNION ALL SELECT 99, 'new'")(lambda s, d: _transacted(s, d))
+
+
+def _watched(s: SparkSession, d: str) -> DataFrame:
+    got = [e["operationType"] for e in _written(s, d).database("shop").watch(batch=20)]
+    return s.createDataFrame([(op, got.count(op)) for op in sorted(set(got))], "op string, n long")
+
+
+def _truncated(s: SparkSession, d: str) -> DataFrame:
+    db = Engine(s, folder(s)).database("shop")
+    _log(s, d).write.parquet(f"{db.path}/_oplog")
+    db.truncate_oplog(_log(s, d).agg(F.expr("(min(ts) + max(ts)) div 2")).first()[0])
+    return db.oplog().agg(F.count(F.lit(1)).alias("n"))
+
+
+def _transacted(s: SparkSession, d: str) -> DataFrame:
+    c = _store(s, d, "nation").database("shop").collection("nation")
+
+    def steps(t) -> None:
+        t.insert(s.createDataFrame([(99, "new", 0)], "n_nationkey int, n_name string, n_regionkey int"))
+        t.update({"n_nationkey": 3}, {"$set": {"n_name": "three"}})
+        t.delete({"n_regionkey": 4, "n_nationkey": {"$ne": 3}})
+
+    c.with_transaction(steps)
+    return c.find({}, {"n_nationkey": 1, "n_name": 1})
+
+
+def _deltas(s: SparkSession, d: str) -> DataFrame:
+    """Events as an oplog of deltas: purchases set the value, clicks and (as a bare field) views the kind, errors remove it."""
+    e, op = read(s, d, "events"), F.col("event_type")
+    o = (
+        F.when(op == "purchase", F.to_json(F.struct(F.struct("value").alias("$set"))))
+        .when(op == "click", F.to_json(F.struct(F.struct(op.alias("kind")).alias("$set"))))
+        .when(op == "view", F.to_json(F.struct(op.alias("kind"))))
+        .when(op == "error", F.lit('{"$unset":{"kind":""}}'))
+        .otherwise(F.to_json(F.struct(F.col("user_id").alias("_id"), "value", op.alias("kind"))))
+    )
+    return _log(s, d).join(e.select(F.col("event_id").alias("c"), o.alias("delta")), "c").withColumn("op", F.when(F.get_json_object("o", "$.kind") == "signup", "i").otherwise("u")).withColumn("o", F.col("delta")).select(*oplog.SCHEMA.names)
+
+
+def _users(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "events").select(F.col("user_id").alias("_id"), F.lit(-1.0).alias("value"), F.lit("none").alias("kind")).distinct()
+
+
+query(
+    "fold_deltas",
+    f"""SELECT u._id, coalesce(v.value, -1.0) AS value, CASE WHEN k.kind IS NULL THEN 'none' WHEN k.kind = 'error' THEN NULL ELSE k.kind END AS kind FROM (SELECT DISTINCT user_id AS _id FROM events) u
+    LEFT JOIN (SELECT user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec DESC, event_id DESC) AS r FROM {_L} WHERE event_type IN ('purchase', 'signup')) WHERE r = 1) v ON v.user_id = u._id
+    LEFT JOIN (SELECT user_id, event_type AS kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec DESC, event_id DESC) AS r FROM {_L} WHERE event_type IN ('click', 'view', 'error', 'signup')) WHERE r = 1) k ON k.user_id = u._id""",
+)(lambda s, d: oplog.fold_deltas(_users(s, d), _deltas(s, d), "shop.users"))
+query("update_description", "SELECT event_type AS kind, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS updated, count(*) FILTER (WHERE event_type = 'error') AS removed FROM events WHERE event_type <> 'signup' GROUP BY 1")(
+    lambda s, d: changes.events(_deltas(s, d), ns="shop.users", deltas=True, match={"operationType": "update"}).join(read(s, d, "events").select(F.col("event_id").cast("string").alias("e"), "event_type"), F.split(F.unbase64("_id").cast("string"), ":")[1] == F.col("e"))
+    .groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("updateDescription.updatedFields") != "{}").alias("updated"), F.count_if(F.size("updateDescription.removedFields") == 1).alias("removed"))
+)
+query("full_document_lookup", "SELECT event_id, CASE WHEN event_type = 'signup' THEN value ELSE -1.0 END AS value FROM events WHERE event_type <> 'error'")(
+    lambda s, d: changes.events(_log(s, d), ns="shop.users", mode="updateLookup", full_document=_users(s, d), match={"operationType": {"$ne": "delete"}}).select(F.split(F.unbase64("_id").cast("string"), ":")[1].cast("long").alias("event_id"), F.get_json_object("fullDocument", "$.value").cast("double").alias("value"))
+)
 query("windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: changes.windowed_counts(read(s, d, "events"), "ts", "event_type", "1 hour").select("start", "event_type", "n"))
 
 # --- sources ---------------------------------------------------------------------------------------------------------
 
-query("gridfs_chunks", "SELECT page_id AS files_id, CAST(n AS INTEGER) AS n, substring(html, CAST(n AS BIGINT) * 1024 + 1, 1024) AS data FROM (SELECT page_id, html, unnest(range(0, CAST(ceil(length(html) / 1024.0) AS BIGINT))) AS n FROM pages WHERE strlen(html) = length(html))")(
-    lambda s, d: gridfs.split(read(s, d, "pages").filter("octet_length(html) = length(html)"), "page_id", "html", 1024)[1].withColumn("data", F.col("data").cast("string"))
-)
-# Chunks are cut at bytes, so they are compared as hex; this takes every page, where gridfs_chunks and its SQL take pure ASCII only.
-query("gridfs_chunks_bytes", "SELECT page_id AS files_id, CAST(n AS INTEGER) AS n, substring(h, CAST(n AS BIGINT) * 2048 + 1, 2048) AS data FROM (SELECT page_id, h, unnest(range(0, CAST(ceil(length(h) / 2048.0) AS BIGINT))) AS n FROM (SELECT page_id, hex(encode(html)) AS h FROM pages))")(
+# Chunks are cut at bytes, so they are compared as hex; every page is cut.
+query("gridfs_chunks", "SELECT page_id AS files_id, CAST(n AS INTEGER) AS n, substring(h, CAST(n AS BIGINT) * 2048 + 1, 2048) AS data FROM (SELECT page_id, h, unnest(range(0, CAST(ceil(length(h) / 2048.0) AS BIGINT))) AS n FROM (SELECT page_id, hex(encode(html)) AS h FROM pages))")(
     lambda s, d: gridfs.split(read(s, d, "pages"), "page_id", "html", 1024)[1].withColumn("data", F.hex("data"))
 )
 query("gridfs_files", "SELECT page_id AS filename, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5 FROM pages")(lambda s, d: gridfs.split(read(s, d, "pages"), "page_id", "html")[0].select("filename", "length", "md5"))
 query("gridfs_round_trip", "SELECT page_id AS filename, true AS complete FROM pages")(lambda s, d: gridfs.join(*gridfs.split(read(s, d, "pages"), "page_id", "html", 777)).select("filename", "complete"))
+query("gridfs_range", "SELECT substring(hex(encode(html)), 2001, 1000) AS data FROM pages WHERE page_id = (SELECT min(page_id) FROM pages WHERE strlen(html) > 1500)")(lambda s, d: _range(s, d))
+query("gridfs_bucket", "SELECT CAST(page_id AS VARCHAR) AS filename, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5 FROM pages WHERE page_id <> (SELECT min(page_id) FROM pages)")(lambda s, d: _bucket(s, d))
+
+
+def _range(s: SparkSession, d: str) -> DataFrame:
+    pages = read(s, d, "pages")
+    first = pages.filter("octet_length(html) > 1500").agg(F.min("page_id")).first()[0]
+    return gridfs.read_range(gridfs.split(pages, "page_id", "html", 512)[1], first, 1000, 500, 512).select(F.hex("data").alias("data"))
+
+
+def _bucket(s: SparkSession, d: str) -> DataFrame:
+    """Pages as files of a bucket, of which the first is deleted, with the checksums of what is in the chunks."""
+    pages, bucket = read(s, d, "pages"), gridfs.Bucket(Engine(s, folder(s)).database("shop"), chunk_size=777)
+    bucket.add(pages, "page_id", "html")
+    bucket.delete(str(pages.agg(F.min("page_id")).first()[0]))
+    whole = gridfs.join(bucket.find(), bucket.chunks.rows())
+    return whole.select("filename", F.octet_length("content").cast("long").alias("length"), F.md5("content").alias("md5"))
+
+
+def _saved(s: SparkSession, df: DataFrame, form: str, gzip: bool = False, **options) -> DataFrame:
+    path = folder(s)
+    backup.write(df, path, form, gzip)
+    return backup.read(s, path, df.schema, form, **options)
+
+
+_CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+query("bson_round_trip", _CUSTOMER)(lambda s, d: _saved(s, read(s, d, "customer"), "bson"))
+query("backup_bson_gzip", "SELECT event_id, date_trunc('milliseconds', ts) AS ts, user_id, event_type, value, props FROM events")(lambda s, d: _saved(s, read(s, d, "events"), "bson", True))
+query("backup_json", "SELECT l_orderkey AS _id, array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS numbers FROM lineitem GROUP BY 1")(
+    lambda s, d: _saved(s, _order_lines(s, d), "json").select("_id", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
+)
+query("backup_restore", f"SELECT user_id AS _id, value, event_type AS kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec DESC, event_id DESC) AS r FROM {_L}) WHERE r = 1 AND event_type <> 'error'")(lambda s, d: _restored(s, d))
+query("backup_report", "SELECT count(*) AS count, count(*) FILTER (WHERE o_orderkey IS NULL) AS without_key, CAST(0 AS BIGINT) AS repeated_keys FROM orders")(lambda s, d: backup.report(read(s, d, "orders"), "o_orderkey").select("count", "without_key", "repeated_keys"))
+query("shell_find", "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 100.5")(lambda s, d: _shell(s, d))
+
+
+def _restored(s: SparkSession, d: str) -> DataFrame:
+    """A full backup of the first half of the log's state, and the second half as two increments, one of them given twice."""
+    log = _log(s, d)
+    lo, hi = log.agg(F.min("ts"), F.max("ts")).first()
+    a, b = (2 * lo + hi) // 3, (lo + 2 * hi) // 3
+    kind = "_id long, value double, kind string"
+    full = _saved(s, oplog.apply(s.createDataFrame([], kind), log.filter(F.col("ts") <= a), "shop.users"), "bson")
+    second, third = _saved(s, backup.increment(log.filter(F.col("ts") <= b), a), "json"), _saved(s, backup.increment(log, b), "bson")
+    return backup.restore(full, [second, third, second], "shop.users")
+
+
+def _shell(s: SparkSession, d: str) -> DataFrame:
+    from vellum.sources.shell import Shell
+
+    shell = Shell(_store(s, d, "customer"), "shop")
+    return shell.run("db.customer.find({c_mktsegment: 'BUILDING', c_acctbal: {$gt: 100.5}}, {c_custkey: 1, c_acctbal: 1})")
+
+
 query("variant_compare", "SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90")(lambda s, d: variant.parse(read(s, d, "events"), "props").filter(variant.compare(F.col("doc"), "k", "$gt", 90)).select("event_id"))
 query("variant_group", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")(
     lambda s, d: variant.parse(read(s, d, "events"), "props").groupBy(variant.sort_key(variant.get(F.col("doc"), "k")).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.col("key.num").cast("long").alias("k"), "n")
