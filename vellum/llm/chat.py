@@ -83,22 +83,25 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 def pairs_of(conversations: DataFrame) -> DataFrame:
     """A (pair_id, chosen, rejected) for each conversation with an assistant's turn.
 
-    Chosen is the conversation up to its last assistant's turn. In the rejected one that turn's text is stale: that of the
-    assistant's turn before or, where there is none, an echo of the turn before (empty, if it's the first).
+    Chosen is the conversation up to its last assistant's turn. In the rejected one the text of one of the assistant's turns,
+    the (conv_id modulo their number)th, is stale: that of the assistant's turn before or, where there is none, an echo of the
+    turn before (empty, if it's the first); the turns after it are the same. So the two part anywhere in the conversation.
     """
     rows = pick(conversations, conv_id="long", turn="long", role="string", text="string").filter("conv_id is not null")
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("t"))
     at = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.element_at("t", i)["role"].eqNullSafe(TRAINED))
     turns = turns.withColumn("at", at).filter("size(at) > 0")
-    last = F.element_at("at", -1)
-    source = F.when(F.size("at") > 1, F.element_at("at", -2)).otherwise(last - 1)
-    turns = turns.withColumn("last", last).withColumn("source", source)
-    plain = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    which = (F.pmod("conv_id", F.size("at")) + 1).cast("int")
+    turns = turns.withColumn("which", which).withColumn("worse", F.element_at("at", F.col("which")))
+    source = F.when(F.col("which") > 1, F.element_at("at", F.greatest(F.col("which") - 1, F.lit(1)))).otherwise(F.col("worse") - 1)
+    turns = turns.withColumn("source", source)
     stale = F.when(F.col("source") > 0, F.element_at("t", F.greatest("source", F.lit(1)))["text"]).otherwise(F.lit(""))
+    turns = turns.withColumn("stale", stale)
+    held = F.slice("t", F.lit(1), F.element_at("at", -1))
     return turns.select(
         F.col("conv_id").alias("pair_id"),
-        F.slice(plain, F.lit(1), F.col("last")).alias("chosen"),
-        F.concat(F.slice(plain, F.lit(1), F.col("last") - 1), F.array(F.struct(F.lit(TRAINED).alias("role"), stale.alias("text")))).alias("rejected"),
+        F.transform(held, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("chosen"),
+        F.transform(held, lambda x, i: F.struct(x["role"].alias("role"), F.when(i + 1 == F.col("worse"), F.col("stale")).otherwise(x["text"]).alias("text"))).alias("rejected"),
     )
 
 
@@ -107,24 +110,27 @@ WITH t AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
          replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
-), l AS (
-  SELECT conv_id, max(i) AS li FROM t WHERE role = 'assistant' GROUP BY conv_id
-), s AS (
-  SELECT l.conv_id, l.li, coalesce(max(t.i), l.li - 1) AS src
-  FROM l LEFT JOIN t ON t.conv_id = l.conv_id AND t.role = 'assistant' AND t.i < l.li GROUP BY l.conv_id, l.li
+), a AS (
+  SELECT conv_id, i, row_number() OVER w AS k, lag(i) OVER w AS before, count(*) OVER p AS n, max(i) OVER p AS li
+  FROM t WHERE role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY i), p AS (PARTITION BY conv_id)
+), w AS (
+  SELECT conv_id, li, i AS ai, coalesce(before, i - 1) AS src FROM a WHERE k = ((conv_id % n) + n) % n + 1
 ), r AS (
-  SELECT s.conv_id, s.li, a.text AS good, coalesce(b.text, '') AS bad
-  FROM s JOIN t a ON a.conv_id = s.conv_id AND a.i = s.li LEFT JOIN t b ON b.conv_id = s.conv_id AND b.i = s.src
+  SELECT w.conv_id, w.li, w.ai, g.text AS good, coalesce(b.text, '') AS bad
+  FROM w JOIN t g ON g.conv_id = w.conv_id AND g.i = w.ai LEFT JOIN t b ON b.conv_id = w.conv_id AND b.i = w.src
 ), n AS (
-  SELECT *, CASE WHEN good = bad THEN li ELSE li - 1 END AS n FROM r
+  SELECT *, CASE WHEN good = bad THEN li ELSE ai - 1 END AS n FROM r
+), x AS (
+  SELECT n.conv_id, n.n, t.i, t.i <= n.n AS shared, '<|im_start|>' || t.role || chr(10) AS head, t.text || '<|im_end|>' || chr(10) AS tail,
+         (CASE WHEN t.i = n.ai THEN n.bad ELSE t.text END) || '<|im_end|>' || chr(10) AS worse, CASE WHEN t.role = 'assistant' THEN '1' ELSE '0' END AS loss
+  FROM n JOIN t ON t.conv_id = n.conv_id AND t.i <= n.li
 )
-SELECT n.conv_id AS pair_id,
-       coalesce(string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.i), '') AS prompt,
-       CAST(n.n AS INTEGER) AS prompt_turns,
-       CASE WHEN good = bad THEN '' ELSE '<|im_start|>assistant' || chr(10) || good || '<|im_end|>' || chr(10) END AS chosen,
-       CASE WHEN good = bad THEN '' ELSE repeat('0', 22) || repeat('1', length(good) + 11) END AS chosen_mask,
-       CASE WHEN good = bad THEN '' ELSE '<|im_start|>assistant' || chr(10) || bad || '<|im_end|>' || chr(10) END AS rejected,
-       CASE WHEN good = bad THEN '' ELSE repeat('0', 22) || repeat('1', length(bad) + 11) END AS rejected_mask
-FROM n LEFT JOIN t ON t.conv_id = n.conv_id AND t.i <= n.n
-GROUP BY n.conv_id, n.n, good, bad
+SELECT conv_id AS pair_id,
+       coalesce(string_agg(head || tail, '' ORDER BY i) FILTER (WHERE shared), '') AS prompt,
+       CAST(n AS INTEGER) AS prompt_turns,
+       coalesce(string_agg(head || tail, '' ORDER BY i) FILTER (WHERE NOT shared), '') AS chosen,
+       coalesce(string_agg(repeat('0', length(head)) || repeat(loss, length(tail)), '' ORDER BY i) FILTER (WHERE NOT shared), '') AS chosen_mask,
+       coalesce(string_agg(head || worse, '' ORDER BY i) FILTER (WHERE NOT shared), '') AS rejected,
+       coalesce(string_agg(repeat('0', length(head)) || repeat(loss, length(worse)), '' ORDER BY i) FILTER (WHERE NOT shared), '') AS rejected_mask
+FROM x GROUP BY conv_id, n
 """
