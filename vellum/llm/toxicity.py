@@ -13,9 +13,11 @@ weights come to ``THRESHOLD`` and to ``DENSITY`` of its words, or to ``DENSE_THR
 it takes the words whose share among toxic documents is significant (log-likelihood ratio); and it lists the words of
 clean documents that the automaton would take for misspelt terms, so that they don't count as such.
 
-Defined results: null and empty texts have no hits; texts are read whole; rows are scored each for itself and repeated
-rows repeat in the result; a row without an id is scored like any other; columns of any other name don't matter; without
-labels the lexicon is the built-in one; empty tables give empty results.
+Defined results: null and empty texts have no hits; texts are read whole, however long; rows are scored each for itself and
+repeated rows repeat in the result; a row without an id is scored like any other; of terms that are equally near to a word
+the first by name counts (and a term that is listed always goes before a misspelt one); of several labels of one document the
+most toxic counts, null ones don't; columns of any other name don't matter; without labels, or where all are of one kind,
+the lexicon is the built-in one; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, pick, slices
+from .common import doc_rows, pick, saved, slices
 
 SEED = ("clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "scumbag", "stupid", "trash", "worthless")
 ONE_EDIT, TWO_EDITS = 5, 9
@@ -232,12 +234,15 @@ def learn(docs: DataFrame, labels: DataFrame, seed: tuple[str, ...] = SEED, samp
     marks = pick(labels, doc_id="long", toxic="int").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = doc_rows(docs).filter("text is not null").join(F.broadcast(marks), "doc_id")
-    words = texts.select((F.col("toxic") > 0).cast("long").alias("toxic"), F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+")).alias("words"))
-    sums = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    n, t = sums["n"], sums["t"]
+    # The empty word is taken to be in each text, so that one pass over the texts counts these too.
+    split = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower("text"), "[^\\p{L}]+")))
+    words = texts.select((F.col("toxic") > 0).cast("long").alias("toxic"), F.explode(split).alias("word")).filter("length(word) > 2 or word = ''")
+    every = saved(words.groupBy("word").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("m")), docs.sparkSession)
+    sums = every.filter("word = ''").first()
+    n, t = (sums["m"], sums["a"]) if sums else (0, 0)
     if not t or t == n:
         return tuple(seed), frozenset()
-    counts = words.select("toxic", F.explode("words").alias("word")).filter("length(word) > 2").groupBy("word").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("m"))
+    counts = every.filter("word <> ''")
     share = F.col("a") / F.col("m")
     base = t / n
 
