@@ -242,6 +242,13 @@ def test_bpe(spark, texts):
         assert got[d]["tokens"] == real.encode_ordinary(t) and got[d]["round_trip"]
     back = {r["doc_id"]: r["text"] for r in bpe.decode(rows).collect()}
     assert [back[d] for d in range(len(back))] == [*texts, *odd]
+    # Parts of characters, no tokens, and null.
+    parts = [(0, [ranks[b"\xe6"]]), (1, []), (2, None), (3, [ranks[b"a"], ranks[b"\xc3"], ranks[b"\xa9"]])]
+    back = {r["doc_id"]: r["text"] for r in bpe.decode(spark.createDataFrame(parts, "doc_id long, tokens array<int>").coalesce(1)).collect()}
+    assert back == {0: "\ufffd", 1: "", 2: None, 3: "a\u00e9"}
+    for bad in ([60_000], [-1], [None]):
+        with pytest.raises(Exception):
+            bpe.decode(spark.createDataFrame([(0, bad)], "doc_id long, tokens array<int>")).collect()
 
 
 def _longest_contexts(rows, asked):
@@ -274,7 +281,7 @@ def test_language_model(spark, texts, shard, block, round_):
     rows += [(70 + i, " ".join(f"{rng.choice(['The', f'rare{i}x{j} the'])} w{rng.randrange(300)}" for j in range(rng.randint(1, 40)))) for i in [*range(30), *range(9)]]
     plain = [(d, t or "") for d, t in rows]
     asked = [(d, t) for d, t in plain if d is not None and d % 3 == 0] + [(1000, "w1 the unheard w2 of w3"), (1001, texts[3])]
-    base = ngramlm.FLOOR / ngramlm.estimate(ngramlm.registers(sorted({w for _, t in plain for w in t.lower().split()})))
+    base = ngramlm.FLOOR / ngramlm.estimate(ngramlm.registers(ngramlm.word_hashes(pa.array(sorted({w for _, t in plain for w in t.lower().split()})))))
     want, longest = {d: [0, 0, 0.0] for d, _ in asked}, 0
     for d, length, every, same in _longest_contexts(plain, asked):
         want[d][0] += 1
@@ -292,7 +299,7 @@ def test_language_model_query(spark, texts, tmp_path):
     rows = [(10 * k, t) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     asked = [(d, t) for d, t in rows if d % 50 == 0]
-    base = ngramlm.FLOOR / ngramlm.estimate(ngramlm.registers(sorted({w for _, t in rows for w in t.split()})))
+    base = ngramlm.FLOOR / ngramlm.estimate(ngramlm.registers(ngramlm.word_hashes(pa.array(sorted({w for _, t in rows for w in t.split()})))))
     want = collections.Counter()
     for d, _, every, same in _longest_contexts(rows, asked):
         want[d] += math.log((1 - ngramlm.FLOOR) * same / every + base)
