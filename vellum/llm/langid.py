@@ -40,6 +40,8 @@ MARK = "▁"
 _SCALE = 1e4
 #: Sums below this are scaled up again.
 _LOW = 1e-100
+#: Words that are fitted at once.
+_AT_ONCE = 5_000
 _B = U(0x9E3779B97F4A7C15)
 
 
@@ -190,43 +192,49 @@ def _expected(lattice: Lattice, word: str, q: np.ndarray) -> tuple[np.ndarray, n
     return piece, np.exp(a[start] + f + b[end] - a[n])
 
 
+def _expected_of_all(lattice: Lattice, words: list[str], weight: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Expected numbers of all pieces in words of up to ``SHORT`` characters, each as often as its weight says."""
+    text, first, room = _points(words)
+    at, length, piece = lattice.edges(text, room)
+    order, bounds, word, start = _by_end(first, at, length)
+    end, size = start + length, np.diff(first)
+    a, b = (np.zeros((len(words), SHORT + 2)) for _ in range(2))
+    a[:, 0] = 1.0
+    b[np.arange(len(words)), size] = 1.0
+    f = q[piece] * _SCALE**length
+    for e in range(1, len(bounds) - 1):
+        k = order[bounds[e] : bounds[e + 1]]
+        a[:, e] = np.bincount(word[k], weights=a[word[k], start[k]] * f[k], minlength=len(words))
+    by_start = np.argsort(start, kind="stable")
+    cuts = np.searchsorted(start[by_start], np.arange(int(start.max(initial=0)) + 2))
+    for s in range(len(cuts) - 2, -1, -1):
+        k = by_start[cuts[s] : cuts[s + 1]]
+        b[:, s] += np.bincount(word[k], weights=b[word[k], end[k]] * f[k], minlength=len(words))
+    whole = a[np.arange(len(words)), size]
+    soft = a[word, start] * f * b[word, end] / np.maximum(whole, 1e-300)[word] * weight[word]
+    return np.bincount(piece, weights=soft, minlength=lattice.n + 1)
+
+
 def fit(counts: dict[str, dict[str, int]], vocabulary: list[str], rounds: int = ROUNDS) -> Model:
-    """The model of each language's word counts, by expectation maximisation over all segmentations."""
+    """The model of each language's word counts, by expectation maximisation over all segmentations, some words at a time."""
     lattice, langs = Lattice(vocabulary), sorted(counts)
     n = lattice.n
     p = np.full((n + 1, len(langs)), UNKNOWN)
     totals = np.array([sum(counts[g].values()) for g in langs], np.float64)
     for g, lang in enumerate(langs):
-        words = [w for w in counts[lang] if 0 < len(w) < SHORT]
+        words = [MARK + w for w in counts[lang] if 0 < len(w) < SHORT]
+        weight = np.array([c for w, c in counts[lang].items() if 0 < len(w) < SHORT], np.float64)
         longer = [(MARK + w, c) for w, c in counts[lang].items() if len(w) >= SHORT]
-        weight = np.array([counts[lang][w] for w in words], np.float64)
         q = np.full(n + 1, 1.0 / max(n, 1))
-        if words or longer:
-            text, first, room = _points([MARK + w for w in words])
-            at, length, piece = lattice.edges(text, room)
-            order, bounds, word, start = _by_end(first, at, length)
-            end, size = start + length, np.diff(first)
-            for _ in range(rounds):
-                q[n] = UNKNOWN
-                a, b = (np.zeros((len(words), SHORT + 2)) for _ in range(2))
-                a[:, 0] = 1.0
-                b[np.arange(len(words)), size] = 1.0
-                f = q[piece] * _SCALE**length
-                for e in range(1, len(bounds) - 1):
-                    k = order[bounds[e] : bounds[e + 1]]
-                    a[:, e] = np.bincount(word[k], weights=a[word[k], start[k]] * f[k], minlength=len(words))
-                by_start = np.argsort(start, kind="stable")
-                cuts = np.searchsorted(start[by_start], np.arange(int(start.max(initial=0)) + 2))
-                for s in range(len(cuts) - 2, -1, -1):
-                    k = by_start[cuts[s] : cuts[s + 1]]
-                    b[:, s] += np.bincount(word[k], weights=b[word[k], end[k]] * f[k], minlength=len(words))
-                whole = a[np.arange(len(words)), size]
-                soft = a[word, start] * f * b[word, end] / np.maximum(whole, 1e-300)[word] * weight[word]
-                c = np.bincount(piece, weights=soft, minlength=n + 1) + 0.01
-                for w, times in longer:
-                    k, soft = _expected(lattice, w, q)
-                    c += np.bincount(k, weights=soft * times, minlength=n + 1)
-                q = c / c[:n].sum()
+        for _ in range(rounds if words or longer else 0):
+            q[n] = UNKNOWN
+            c = np.full(n + 1, 0.01)
+            for a in range(0, len(words), _AT_ONCE):
+                c += _expected_of_all(lattice, words[a : a + _AT_ONCE], weight[a : a + _AT_ONCE], q)
+            for w, times in longer:
+                k, soft = _expected(lattice, w, q)
+                c += np.bincount(k, weights=soft * times, minlength=n + 1)
+            q = c / c[:n].sum()
         p[:n, g] = q[:n]
     return Model(lattice, langs, p, np.log(np.maximum(totals, 1) / max(totals.sum(), 1)))
 
