@@ -150,3 +150,29 @@ def keep(docs: DataFrame, limits: dict[str, float] | None = None) -> DataFrame:
             yield b.filter(pa.array(~rejected(m, limits)))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def sql(limits: dict[str, float] | None = None) -> str:
+    """DuckDB's SQL for the rows of ``annotate`` that are kept: n-grams with their places, counted and numbered in each text."""
+    limits = LIMITS if limits is None else limits
+    tops = ", ".join(f"coalesce(max(CASE WHEN n = {n} THEN m END), 0) AS top_{n}" for n in TOP)
+    covers = ", ".join(f"coalesce(max(CASE WHEN n = {n} THEN m END), 0) AS cover_{n}" for n in COVER)
+    measures = [f"least(coalesce(t.{m}, 0) / greatest(c.total, 1), 1)" for m in MEASURES if m.startswith("top")] + [f"coalesce(v.{m}, 0) / greatest(c.total, 1)" for m in MEASURES if m.startswith("cover")] + ["coalesce(l.again / greatest(l.every, 1), 0)"]
+    named = ", ".join(f"CAST({x} AS DOUBLE) AS {m}" for x, m in zip(measures, MEASURES))
+    kept = " AND ".join(f"{m} <= {limits[m]}" for m in limits)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '') AS ws FROM d),
+p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, length(unnest(ws)) AS size FROM w),
+c AS (SELECT r, sum(size) AS total FROM p GROUP BY r),
+g AS (SELECT w.r, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS g FROM w, range(2, {max(TOP + COVER) + 1}) x(n), unnest(range(1, len(ws) - n + 2)) y(i)),
+q AS (SELECT *, length(g) - n + 1 AS size, count(*) OVER (PARTITION BY r, n, g) AS k, row_number() OVER (PARTITION BY r, n, g ORDER BY i) AS o FROM g),
+t AS (SELECT r, {tops} FROM (SELECT r, n, max((k - 1) * size) AS m FROM q GROUP BY r, n) GROUP BY r),
+u AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS i FROM q WHERE o > 1 AND n >= {min(COVER)}),
+v AS (SELECT r, {covers} FROM (SELECT r, n, sum(size) AS m FROM u JOIN p USING (r, i) GROUP BY r, n) GROUP BY r),
+y AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+z AS (SELECT r, line, count(*) AS k FROM y WHERE line <> '' GROUP BY r, line),
+l AS (SELECT r, sum((k - 1) * length(line)) AS again, sum(k * length(line)) AS every FROM z GROUP BY r),
+m AS (SELECT d.doc_id, {named} FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r) LEFT JOIN v USING (r) LEFT JOIN l USING (r))
+SELECT doc_id, {", ".join(f"round({m}, 6) AS {m}" for m in MEASURES)}, true AS keep FROM m WHERE {kept}
+"""
