@@ -564,6 +564,23 @@ def repeats(docs: DataFrame, length: int = MIN_WORDS, gram: int = GRAM) -> DataF
     return _union(_intervals(docs, False, length, gram))
 
 
+def sql(length: int = MIN_WORDS) -> str:
+    """DuckDB's SQL for ``repeats``: runs of ``length`` words, those that occur again, and the intervals that they cover."""
+    space = "\\t\\n\\x0b\\x0c\\r "
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[{space}]*[^{space}]+') AS ts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT r, doc_id, ts, list_transform(ts, lambda x: ltrim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS ws FROM d),
+g AS (SELECT r, i, md5(array_to_string(list_slice(ws, i, i + {length - 1}), ' ')) AS g FROM w, unnest(range(1, len(ws) - {length} + 2)) y(i)),
+q AS (SELECT r, i, i - max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS k FROM g) WHERE k > 1),
+n AS (SELECT r, i, sum(CASE WHEN gap <= {length} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run FROM q),
+s AS (SELECT r, min(i) AS a, max(i) + {length - 1} AS b FROM n GROUP BY r, run),
+p AS (SELECT r, unnest(range(1, len(ts) + 1)) AS i, unnest(list_transform(ts, lambda x: length(x))) AS size, unnest(list_transform(ws, lambda x: length(x))) AS word FROM w),
+e AS (SELECT r, i, word, sum(size) OVER (PARTITION BY r ORDER BY i) AS till FROM p)
+SELECT DISTINCT doc_id, CAST(x.till - x.word AS BIGINT) AS start, CAST(y.till AS BIGINT) AS "end"
+FROM s JOIN e x ON x.r = s.r AND x.i = s.a JOIN e y ON y.r = s.r AND y.i = s.b JOIN d ON d.r = s.r
+"""
+
+
 def remove(docs: DataFrame, length: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
     """``docs`` with every repeated passage kept at its first place only; rows left without words are dropped."""
     spans = _union(_intervals(docs, True, length, gram)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))

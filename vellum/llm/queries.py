@@ -58,4 +58,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_preferences": chat.SQL, "op3_repetition": repetition.sql()}
+    return {"op1_chat_preferences": chat.SQL, "op3_repetition": repetition.sql(), "op8_fm_substring": fmindex.sql()}
