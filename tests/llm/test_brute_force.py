@@ -153,6 +153,28 @@ def test_repeats(spark, texts, earlier, size, even, monkeypatch):
         assert rest == {d: t for d, t in kept.items() if t or not any(d == e for e, _, _ in want)}
 
 
+def _records(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("earlier", [False, True])
+def test_repeats_work_follows_the_text(spark, earlier, monkeypatch):
+    """A short passage in the midst of ever other words: twice the documents take twice the rows, and all are found."""
+    monkeypatch.setattr(fmindex, "SHARD_WORDS", 800)
+    length, passage, moved = 10, " ".join(f"p{i}" for i in range(12)), []
+    for n in (150, 300):
+        rows = [(d, " ".join([*(f"a{d}x{j}" for j in range(30)), passage, *(f"b{d}x{j}" for j in range(30))])) for d in range(n)]
+        df, before = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), _records(spark)
+        got = {tuple(r) for r in fmindex._union(fmindex._intervals(df, earlier, length, 4)).select("doc_id", "start", "end").collect()}
+        moved.append(_records(spark) - before)
+        assert got == {(d, t.index(passage), t.index(passage) + len(passage)) for d, t in rows[earlier:]}
+    assert moved[1] < 2.3 * moved[0]
+
+
 def test_remove(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(5, f"start {passage} end"), (2, f"first {passage}"), (9, passage)]

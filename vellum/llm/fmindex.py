@@ -4,13 +4,14 @@ A text is a sequence of white-space separated words (exact, by 64-bit hash). Rep
 of at least ``MIN_WORDS`` words that are covered by passages of that length which also occur elsewhere, in another
 document or in the same.
 
-To search every document against every shard would cost the square of the corpus, so documents are only streamed where
-a match can be. K-grams are winnowed: of any ``MIN_WORDS`` words the least k-gram hash is picked, so two equal passages
-pick the same. Only hashes that are picked twice in the corpus matter. Around them a text is cut into regions; outside of
-regions nothing repeats. Equal regions are indexed and searched once. A region is indexed in the shard of its least
-shared hash (where more regions than a shard holds have it, these are spread over several), and streamed through that
-shard; only what of it has no match there goes on to the other shards in which one of its hashes occurs. The work then
-follows the repeated text, not the square of the corpus.
+To search every document against every shard would cost the square of the corpus, so each passage is only searched where a
+match can be. K-grams are winnowed: of any ``MIN_WORDS`` words the least k-gram hash is taken, so two equal passages have
+the same. Only hashes that are picked twice in the corpus matter. A text is cut into segments, the runs of passages with one
+of these hashes; elsewhere nothing repeats, and each passage lies in one segment only. All segments of a hash are in one
+shard, so a segment is searched in its own shard and in no other, and the work follows the repeated text, not its square.
+Equal segments count once: copies are repeated as a whole, and a hash that only equal segments have needs no search. Where
+one hash has more different segments than a shard holds (a short passage in many surroundings), their passages are counted
+by a 128-bit hash of all their words instead.
 
 In a shard the index is a suffix array by prefix doubling, the Burrows-Wheeler transform in a wavelet matrix of packed
 bits with rank counts, and the LCP array with its nearest smaller values. All regions go through it in lock-step: a
@@ -24,7 +25,6 @@ left after a cut, and passes other columns on, whatever their names. Empty table
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +39,6 @@ GRAM = 16
 #: Words that one shard's index holds at about most; streams are cut to runs of CHUNK words, overlapping by MIN_WORDS.
 SHARD_WORDS = 1 << 18
 CHUNK = 192
-#: Hashes of more words than a shard (16 bytes each) that are broadcast; more of them are joined.
-BROADCAST_ROWS = 200_000
 _B = U(0xA24BAED4963EE407)
 _MAX = U(2**64 - 1)
 
@@ -215,10 +213,8 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return out
 
 
-def anchors(w: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, hash) of the picked k-grams: the least of every ``length`` words of a text."""
-    if len(w) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def passages(w: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the hash of the k-gram, and the least one of the ``length`` words, that begin with it (0 where they don't fit)."""
     # Rolling k-gram hash by doubling; gram is a power of two.
     h, size = w.hash.copy(), 1
     while size < gram:
@@ -229,7 +225,14 @@ def anchors(w: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     room = w.room()
     h = np.where(room >= gram, h, _MAX)
     low = _sliding(h, length - gram + 1, True)
-    low = np.where(room >= length, low, U(0))
+    return h, np.where(room >= length, low, U(0))
+
+
+def anchors(w: Words, length: int, gram: int, held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of the picked k-grams: the least of every ``length`` words of a text."""
+    if len(w) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, low = held or passages(w, length, gram)
     top = _sliding(low[::-1], length - gram + 1, False)[::-1]
     # Windows of the text before begin before its first word; they are none of this text's.
     pos = np.arange(len(w)) - w.first[w.doc]
@@ -258,32 +261,38 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, h long")
 
 
-def _regions(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of regions of (doc_id, text, shared hashes); at and first are their first character and word in the text."""
-    schema = "doc_id long, at long, first long, chars long, words int, text string, hashes array<long>, k1 long, k2 long"
+def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows of segments of (doc_id, text, shared hashes); at and first are their first character and word in the text.
+
+    h: the hash that all passages of the segment have; twice: whether it is in the segment more than once.
+    """
+    schema = "doc_id long, at long, first long, chars long, words int, text string, h long, twice boolean, k1 long, k2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, 1)):
             off, raw = utf8_buffers(b.column(1))
             w = Words(off, raw)
-            cb = chars_before(raw)
-            at, h = anchors(w, length, gram)
+            if len(w) < length:
+                continue
+            h, low = passages(w, length, gram)
+            at, picked = anchors(w, length, gram, (h, low))
             lists = b.column(2)
             shared = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = lists.value_parent_indices().to_numpy(zero_copy_only=False) if hasattr(lists, "value_parent_indices") else np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            owner = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
             known = np.unique(mix(shared ^ mix(owner.astype(np.uint64))))
-            ok = np.isin(mix(h ^ mix(w.doc[at].astype(np.uint64))), known) if len(at) else np.zeros(0, bool)
-            at, h = at[ok], h[ok]
-            if not len(at):
+            new = np.ones(len(w), bool)
+            new[1:] = (low[1:] != low[:-1]) | (w.doc[1:] != w.doc[:-1])
+            start = np.flatnonzero(new)
+            last = np.append(start[1:], len(w)) - 1
+            ok = (low[start] != 0) & np.isin(mix(low[start] ^ mix(w.doc[start].astype(np.uint64))), known)
+            start, last = start[ok], last[ok]
+            if not len(start):
                 continue
-            doc = w.doc[at]
-            lo = np.maximum(at + gram - length, w.first[doc])
-            hi = np.minimum(at + length, w.first[doc + 1])
-            new = np.ones(len(at), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1])
-            cut = np.flatnonzero(new)
-            start, end = lo[cut], hi[np.append(cut[1:], len(at)) - 1]
-            d = w.doc[start]
+            end, d = last + length, w.doc[start]
+            pair = np.flatnonzero((picked[1:] == picked[:-1]) & (w.doc[at[1:]] == w.doc[at[:-1]]))
+            k = np.searchsorted(at[pair], start)
+            twice = np.append(at[pair + 1], len(w) + length)[k] <= last + length - gram
+            cb = chars_before(raw)
             bs, be = w.start[start], w.end[end - 1]
             data = raw.tobytes()
             cum = np.cumsum(end - start) - (end - start)
@@ -291,11 +300,10 @@ def _regions(texts: DataFrame, length: int, gram: int) -> DataFrame:
             words = np.arange(len(cells)) - np.repeat(cum - start, end - start)
             keys = []
             for odd in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)):
-                # Keyed by the words, each with its number and its place in bytes: regions of one key have their words at the
+                # Keyed by the words, each with its number and its place in bytes: segments of one key have their words at the
                 # same offsets, whatever white space is between. Others of the same words are found by the index.
                 v = mix(mix(w.hash[words] + odd * (words - start[cells] + 1).astype(np.uint64)) + (w.start[words] - bs[cells]).astype(np.uint64))
                 keys.append(mix(np.add.reduceat(v, cum)).view(np.int64))
-            bounds = np.append(cut, len(at)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(d)),
@@ -304,11 +312,12 @@ def _regions(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     pa.array(cb[be] - cb[bs]),
                     pa.array((end - start).astype(np.int32)),
                     pa.array([data[x:y].decode("utf-8") for x, y in zip(bs, be)], pa.string()),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(h.view(np.int64))),
+                    pa.array(low[start].view(np.int64)),
+                    pa.array(twice),
                     pa.array(keys[0]),
                     pa.array(keys[1]),
                 ],
-                names=["doc_id", "at", "first", "chars", "words", "text", "hashes", "k1", "k2"],
+                names=["doc_id", "at", "first", "chars", "words", "text", "h", "twice", "k1", "k2"],
             )
 
     return texts.mapInArrow(run, schema)
@@ -326,107 +335,51 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Shard:
-    """The index of a shard's regions, given as rows of (doc_id, at, text, k1, k2)."""
+    """The index of a shard's segments, given as rows of (doc_id, at, text, asked, k1, k2)."""
 
-    def __init__(self, table: pa.Table, length: int, gram: int, earlier: bool):
-        self.length, self.gram, self.earlier = length, gram, earlier
+    def __init__(self, table: pa.Table, length: int, earlier: bool):
+        self.length, self.earlier = length, earlier
         doc = table.column("doc_id").to_numpy(zero_copy_only=False)
         place = table.column("at").to_numpy(zero_copy_only=False)
-        order = np.lexsort((place, doc))
-        self.table = table.take(pa.array(order))
-        self.places = list(zip(doc[order].tolist(), place[order].tolist()))
+        self.table = table.take(pa.array(np.lexsort((place, doc))))
         self.off, self.raw = utf8_buffers(self.table.column("text"))
         self.w = w = Words(self.off, self.raw)
-        self.values = np.unique(w.hash)
-        self.ids = np.searchsorted(self.values, w.hash) + 1
-        self.index = FMIndex([self.ids[a:b] for a, b in zip(w.first.tolist(), w.first[1:].tolist())], len(self.values))
+        values = np.unique(w.hash)
+        self.ids = np.searchsorted(values, w.hash) + 1
+        self.index = FMIndex([self.ids[a:b] for a, b in zip(w.first.tolist(), w.first[1:].tolist())], len(values))
 
-    def _found(self, w: Words, ids: np.ndarray, count: int, slot: np.ndarray | None, moves: int) -> dict[int, list[tuple[int, int]]]:
-        """Word intervals of each text that match."""
+    def _found(self) -> dict[int, list[tuple[int, int]]]:
+        """Word intervals of each asked segment that match."""
         streams, of, shift = [], [], []
-        for i, (a, b) in enumerate(zip(w.first.tolist(), w.first[1:].tolist())):
-            for step in range(a, max(b - self.length, a) + 1, CHUNK):
-                streams.append(ids[step : min(step + CHUNK + self.length, b)])
+        asked = self.table.column("asked").to_pylist()
+        for i, (a, b) in enumerate(zip(self.w.first.tolist(), self.w.first[1:].tolist())):
+            for step in range(a, max(b - self.length, a) + 1, CHUNK) if asked[i] else ():
+                streams.append(self.ids[step : min(step + CHUNK + self.length, b)])
                 of.append(i)
                 shift.append(step - a)
         of_, shift_ = np.array(of, np.int64), np.array(shift, np.int64)
         n = len(streams)
-        before = None if slot is None else slot[of_] + moves * shift_
+        before = self.index.starts[of_] + shift_ if self.earlier else None
         rows: dict[int, tuple[list, list]] = {}
-        for who, a, b in self.index.matches(streams, np.full(n, count), before, np.full(n, moves), self.length):
+        for who, a, b in self.index.matches(streams, np.full(n, 2), before, np.ones(n, np.int64), self.length):
             for i, x, y in zip(of_[who].tolist(), (a + shift_[who]).tolist(), (b + shift_[who]).tolist()):
                 r = rows.setdefault(i, ([], []))
                 r[0].append(x)
                 r[1].append(y)
         return {i: _merged(np.array(xs), np.array(ys)) for i, (xs, ys) in rows.items()}
 
-    def own(self) -> tuple[pa.RecordBatch, pa.RecordBatch]:
-        """(matches of the indexed regions, what of them isn't matched yet and may match in another shard)."""
-        w, length = self.w, self.length
-        slot = self.index.starts if self.earlier else None
-        found = self._found(w, self.ids, 2, slot, 1)
-        cb = chars_before(self.raw)
-        hit, starts, ends, words, left, l_at, l_word, l_text = [], [], [], [], [], [], [], []
-        data = self.raw.tobytes()
-        for i, (f, e) in enumerate(zip(w.first.tolist(), w.first[1:].tolist())):
-            spans = found.get(i, [])
-            base = int(cb[self.off[i]])
+    def matches(self) -> pa.RecordBatch:
+        """Of the asked segments, what occurs at another place, or with ``earlier`` at one before."""
+        w, cb = self.w, chars_before(self.raw)
+        hit, starts, ends, words = [], [], [], []
+        for i, spans in self._found().items():
+            f, base = int(w.first[i]), int(cb[self.off[i]])
             for x, y in spans:
                 hit.append(i)
                 starts.append(int(cb[w.start[f + x]]) - base)
                 ends.append(int(cb[w.end[f + y - 1]]) - base)
                 words.append((x, y))
-            size, last = e - f, 0
-            gaps: list[tuple[int, int]] = []
-            for x, y in [*spans, (size, size)]:
-                if x > last:
-                    a, b = max(0, last - length + 1), min(size, x + length - 1)
-                    if gaps and a <= gaps[-1][1]:
-                        gaps[-1] = (gaps[-1][0], b)
-                    else:
-                        gaps.append((a, b))
-                last = y
-            for a, b in gaps:
-                if b - a >= length:
-                    x, y = int(w.start[f + a]), int(w.end[f + b - 1])
-                    left.append(i)
-                    l_at.append(int(cb[x]) - base)
-                    l_word.append(a)
-                    l_text.append(data[x:y])
-        texts = pa.array(l_text, pa.binary()).cast(pa.string())
-        sub = Words(*utf8_buffers(texts))
-        at, h = anchors(sub, length, self.gram)
-        owner = sub.doc[at] if len(at) else at
-        bounds = np.searchsorted(owner, np.arange(len(left) + 1)).astype(np.int32)
-        hashes = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h.view(np.int64)))
-        t, l = self.table.take(pa.array(hit, pa.int64())), self.table.take(pa.array(left, pa.int64()))
-        matched = _span_rows(t, starts, ends, words)
-        rest = [l.column(c).combine_chunks() for c in ("doc_id", "at", "k1", "k2")]
-        return matched, pa.RecordBatch.from_arrays([*rest, pa.array(l_at, pa.int64()), pa.array(l_word, pa.int64()), texts, hashes], names=["doc_id", "at", "k1", "k2", "skip", "skip_words", "text", "hashes"])
-
-    def others(self, table: pa.Table) -> pa.RecordBatch:
-        """Matches of rows (doc_id, at, skip, skip_words, text, k1, k2) of other shards."""
-        off, raw = utf8_buffers(table.column("text"))
-        w = Words(off, raw)
-        cb = chars_before(raw)
-        at = np.minimum(np.searchsorted(self.values, w.hash), len(self.values) - 1)
-        ids = np.where(self.values[at] == w.hash, at + 1, 0)
-        slot = None
-        if self.earlier:
-            # What lies before the region in (doc_id, place) order is indexed before the next region.
-            starts = np.append(self.index.starts, self.index.n)
-            rank = [bisect_left(self.places, p) for p in zip(table.column("doc_id").to_pylist(), table.column("at").to_pylist())]
-            slot = starts[np.array(rank, np.int64)]
-        hit, starts_, ends, words = [], [], [], []
-        skip, skip_words = table.column("skip").to_pylist(), table.column("skip_words").to_pylist()
-        for i, spans in self._found(w, ids, 1, slot, 0).items():
-            f, base = int(w.first[i]), int(cb[off[i]])
-            for x, y in spans:
-                hit.append(i)
-                starts_.append(int(cb[w.start[f + x]]) - base + skip[i])
-                ends.append(int(cb[w.end[f + y - 1]]) - base + skip[i])
-                words.append((x + skip_words[i], y + skip_words[i]))
-        return _span_rows(table.take(pa.array(hit, pa.int64())), starts_, ends, words)
+        return _span_rows(self.table.take(pa.array(hit, pa.int64())), starts, ends, words)
 
 
 def _span_rows(t: pa.Table, start: list[int], end: list[int], words: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -440,67 +393,73 @@ _SPAN = ["from", "to", "from_word", "to_word"]
 _SPAN_TYPES = "`from` long, `to` long, from_word long, to_word long"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[pa.RecordBatch]]]:
-    """Rows sorted by (shard, home first), in runs: a shard's home rows all at once, its other rows batch by batch."""
-    held: list[pa.RecordBatch] = []
-    shard = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        s, home = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (home[1:] != home[:-1])) + 1).tolist(), b.num_rows]
-        for x, y in zip(cuts, cuts[1:]):
-            part = b.slice(x, y - x)
-            if home[x]:
-                if shard is not None and s[x] != shard:
-                    yield shard, True, held
-                    held = []
-                shard = s[x]
-                held.append(part)
-            else:
-                if held:
-                    yield shard, True, held
-                    held, shard = [], None
-                yield s[x], False, [part]
-    if held:
-        yield shard, True, held
-
-
-def _own_pass(length: int, gram: int, earlier: bool):
-    """Rows of matches, and of what is left, of each shard; the columns of the other kind are null."""
+def _search(length: int, earlier: bool):
+    """Rows of matches of each shard, of rows sorted by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, _, parts in _runs(batches):
-            for rows in Shard(pa.Table.from_batches(parts), length, gram, earlier).own():
-                n, held = rows.num_rows, set(rows.schema.names)
-                cols = [pa.array(np.full(n, shard, np.int64)) if c == "shard" else rows.column(c) if c in held else pa.nulls(n, t) for c, t in _OWN.items()]
-                yield pa.RecordBatch.from_arrays(cols, names=list(_OWN))
+        held: list[pa.RecordBatch] = []
+        shard = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                if held and s[x] != shard:
+                    yield Shard(pa.Table.from_batches(held), length, earlier).matches()
+                    held = []
+                shard = s[x]
+                held.append(b.slice(x, y - x))
+        if held:
+            yield Shard(pa.Table.from_batches(held), length, earlier).matches()
 
     return run
 
 
-_OWN = {**dict.fromkeys(("shard", "doc_id", "at", "k1", "k2", *_SPAN, "skip", "skip_words"), pa.int64()), "text": pa.string(), "hashes": pa.list_(pa.int64())}
-_OWN_TYPES = f"shard long, doc_id long, at long, k1 long, k2 long, {_SPAN_TYPES}, skip long, skip_words long, text string, hashes array<long>"
-
+def _passages(rows: DataFrame, length: int) -> DataFrame:
+    """Each passage of the segments, with the key of its words, its first word's place in the text, and its bounds in the segment."""
 
-def _other_pass(length: int, gram: int, earlier: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for shard, home, parts in _runs(batches):
-            table = pa.Table.from_batches(parts)
-            if home:
-                held = (shard, Shard(table, length, gram, earlier))
-            elif held is not None and held[0] == shard:
-                for b in table.to_batches():
-                    for part in slices(b, b.schema.get_field_index("text"), limit=1 << 20):
-                        yield held[1].others(pa.Table.from_batches([part]))
+        for b in (s for whole in batches for s in slices(whole, whole.schema.get_field_index("text"), limit=1 << 20)):
+            off, raw = utf8_buffers(b.column("text"))
+            w, cb = Words(off, raw), chars_before(raw)
+            at = np.flatnonzero(w.room() >= length)
+            doc = w.doc[at]
+            keys = [np.full(len(at), odd, np.uint64) for odd in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))]
+            for j in range(length):
+                keys = [mix(k * _B + w.hash[at + j]) for k in keys]
+            t, i = b.take(pa.array(doc)), at - w.first[doc]
+            place = t.column("first").to_numpy(zero_copy_only=False) + i
+            base = cb[off[doc]]
+            cols = [*(t.column(c) for c in ("doc_id", "asked", "k1", "k2")), pa.array(place), *(pa.array(k.view(np.int64)) for k in keys), pa.array(cb[w.start[at]] - base), pa.array(cb[w.end[at + length - 1]] - base), pa.array(i), pa.array(i + length)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "asked", "k1", "k2", "place", "p1", "p2", *_SPAN])
 
-    return run
+    return rows.mapInArrow(run, f"doc_id long, asked boolean, k1 long, k2 long, place long, p1 long, p2 long, {_SPAN_TYPES}")
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------
 
 
+def _searched(segments: DataFrame, earlier: bool) -> tuple[DataFrame, DataFrame, int]:
+    """(different segments with their copies; those to be searched, with text and the words of all that have their hash; number of shards).
+
+    Each is searched among those of its hash only. asked: whether its own matches matter; copies that don't lie first are
+    repeated as a whole, and so are all where any other place counts.
+    """
+    spark = segments.sparkSession
+    place = F.struct("doc_id", "at", "first")
+    unique = segments.groupBy("k1", "k2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"), F.first("h").alias("h"), F.max("twice").alias("twice"))
+    unique = saved(unique, spark)
+    load = unique.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("load"), F.max("twice").alias("again")).filter("n > 1 or again")
+    open_ = unique.join(load.select("h", "load"), "h").select("h", "load", "words", "k1", "k2", "copies", "p.doc_id", "p.at", "p.first")
+    # One row of each: repeated rows of a doc_id have equal segments at one place.
+    texts = segments.select("k1", "k2", "doc_id", "at", "text")
+    keys = ["k1", "k2", "doc_id", "at"]
+    open_ = saved(open_.join(texts, keys).dropDuplicates(keys).withColumn("asked", F.lit(earlier) | (F.col("copies") == 1)), spark)
+    total = open_.filter(F.col("load") <= SHARD_WORDS).agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    return unique, open_, max(1, -(-2 * total // SHARD_WORDS))
+
+
 def _intervals(docs: DataFrame, earlier: bool, length: int, gram: int) -> DataFrame:
     """(doc_id, start, end): characters of each repeated passage; with ``earlier`` only of what an earlier place holds."""
     spark = docs.sparkSession
@@ -509,46 +468,25 @@ def _intervals(docs: DataFrame, earlier: bool, length: int, gram: int) -> DataFr
     # Counted by partial sums, and joined: however many documents have a hash, none of it is in one task alone.
     often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     lists = rows.join(often, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared"))
-    regions = saved(_regions(texts.join(lists, "doc_id"), length, gram), spark)
-    place = F.struct("doc_id", "at")
-    unique = regions.groupBy("k1", "k2").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"), F.first("words").alias("words"), F.first("hashes").alias("hashes"))
-    unique = saved(unique.withColumn("least", F.array_min("hashes")), spark)
-    total = unique.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    n_shards = max(1, -(-2 * total // SHARD_WORDS))
-    # As many shards as the regions need, and several for a hash that more regions than one shard holds have in common.
-    heavy = saved(unique.groupBy("least").agg(F.sum("words").alias("load")).filter(F.col("load") > SHARD_WORDS), spark)
-    if heavy.count() <= BROADCAST_ROWS:
-        heavy = F.broadcast(heavy)
-    part = F.pmod("k1", F.coalesce(F.ceil(F.col("load") / SHARD_WORDS), F.lit(1)))
-    unique = unique.join(heavy, "least", "left").withColumn("shard", F.pmod(F.xxhash64("least", part), F.lit(n_shards))).drop("least", "load")
-    indexed = unique.select("shard", F.lit(True).alias("home"), F.col("p.doc_id").alias("doc_id"), F.col("p.at").alias("at"), "k1", "k2", *(F.lit(0).cast("long").alias(c) for c in ("skip", "skip_words")), "text")
-    by_shard = indexed.repartition(n_shards, "shard").sortWithinPartitions("shard")
-    own_rows = saved(by_shard.mapInArrow(_own_pass(length, gram, earlier), _OWN_TYPES), spark)
-    found = own_rows.filter("text is null").select("k1", "k2", *_SPAN)
-    # What has no match in its own shard goes on to the other shards in which one of its hashes occurs; regions that
-    # occur more than once need that only where their first place matters.
-    left = own_rows.filter("text is not null")
-    if not earlier:
-        left = left.join(unique.filter("copies > 1").select("k1", "k2"), ["k1", "k2"], "left_anti")
-    homes = unique.select(F.explode("hashes").alias("h"), F.col("shard").alias("to_shard")).distinct()
-    part_of = ["k1", "k2", "skip"]
-    visits = left.select(*part_of, "shard", F.explode("hashes").alias("h")).join(homes, "h").filter("to_shard <> shard").select(*part_of, "to_shard").distinct()
-    visits = saved(visits, spark)
-    away = left.drop("shard").join(visits, part_of).select(F.col("to_shard").alias("shard"), F.lit(False).alias("home"), "doc_id", "at", "k1", "k2", "skip", "skip_words", "text")
-    again = indexed.join(visits.select(F.col("to_shard").alias("shard")).distinct(), "shard", "left_semi").select(*away.columns)
-    met = again.unionByName(away).repartition(n_shards, "shard").sortWithinPartitions("shard", F.desc("home"))
-    found = found.unionByName(met.mapInArrow(_other_pass(length, gram, earlier), f"k1 long, k2 long, {_SPAN_TYPES}"))
-    own = regions.select("doc_id", "at", "first", "chars", "k1", "k2", "words")
-    copies = unique.select("k1", "k2", "copies", "p")
-    whole = own.join(copies, ["k1", "k2"]).filter("copies > 1 and words >= " + str(length))
+    segments = saved(_segments(texts.join(lists, "doc_id"), length, gram), spark)
+    unique, open_, n_shards = _searched(segments, earlier)
+    light = open_.filter(F.col("load") <= SHARD_WORDS).select(F.pmod(F.xxhash64("h"), F.lit(n_shards)).alias("shard"), "doc_id", "at", "asked", "k1", "k2", "text")
+    found = light.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(_search(length, earlier), f"k1 long, k2 long, {_SPAN_TYPES}")
+    many = saved(_passages(open_.filter(F.col("load") > SHARD_WORDS), length), spark)
+    place = F.struct("doc_id", "place")
+    often = many.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).filter("n > 1").select("p1", "p2", "least")
+    again = many.join(often, ["p1", "p2"]).filter(place > F.col("least") if earlier else F.col("asked"))
+    found = found.unionByName(again.select("k1", "k2", *_SPAN))
+    own = segments.select("doc_id", "at", "first", "chars", "k1", "k2", "words")
+    whole = own.join(unique.filter("copies > 1").select("k1", "k2", "p"), ["k1", "k2"])
     if earlier:
-        # Of equal regions all but the first lie at a later place; repeated rows of one id and place keep one.
+        # Of equal segments all but the first lie at a later place; repeated rows of one id and place keep one.
         whole = whole.filter("not (doc_id = p.doc_id and at = p.at)")
     whole = whole.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("chars")).alias("end"), F.col("first").alias("start_word"), (F.col("first") + F.col("words")).alias("end_word"))
     part = own.join(found, ["k1", "k2"]).select(
         "doc_id", (F.col("at") + F.col("from")).alias("start"), (F.col("at") + F.col("to")).alias("end"), (F.col("first") + F.col("from_word")).alias("start_word"), (F.col("first") + F.col("to_word")).alias("end_word"),
     )
-    return whole.unionByName(part).distinct()
+    return whole.unionByName(part)
 
 
 def _union(spans: DataFrame) -> DataFrame:
