@@ -329,6 +329,32 @@ def test_language_model_query(spark, texts, tmp_path):
     assert set(got) == {d for d, _ in asked} and all(v == pytest.approx(want[d], rel=1e-9) for d, v in got.items())
 
 
+def test_language_model_shards(monkeypatch):
+    """A place is searched in the shards that hold the three words before it, not in all of them; and all is counted."""
+    rng = random.Random(11)
+    rows = [(d, " ".join(f"w{rng.randrange(60)}" for _ in range(50))) for d in range(400)]
+    rows += [(1001, rows[50][1] + " w1"), (None, "w2 " + rows[100][1]), (150, rows[100][1]), (1003, "once w1"), (1004, "w3"), (1005, "")]
+    asked = [(d, t) for d, t in rows if d is not None and d % 50 == 0]
+    held, seen, follow = ngramlm.Corpus(), [], ngramlm.Index._followers
+    held.add(pa.array([d for d, _ in asked]), pa.array([t for _, t in asked]))
+    words, codes, sizes, ids, _ = held.take()
+    block = ngramlm.Block(words, codes.astype(np.int64) - 1, sizes.astype(np.int64), ids)
+    monkeypatch.setattr(ngramlm.Index, "_followers", lambda self, word, lo, hi: (seen.append(len(word)), follow(self, word, lo, hi))[1])
+    monkeypatch.setattr(ngramlm, "_read_blocks", lambda path: iter([(7, block)]))
+
+    class Here:
+        @staticmethod
+        def mapInArrow(run, schema):
+            cuts = [rows[a : a + 20] for a in range(0, len(rows), 20)]
+            batches = (pa.RecordBatch.from_arrays([pa.array([d for d, _ in c], pa.int64()), pa.array([t for _, t in c])], names=["doc_id", "text"]) for c in cuts)
+            return {b.column(0)[0].as_py(): ngramlm.unpack(b.column(1)[0].as_py()) for b in run(batches)}
+
+    got = ngramlm._found(Here, "", 1000)
+    want = _longest_contexts(rows, asked)
+    assert [tuple(int(y) for y in x) for x in zip(*got[7])] == [x[1:] for x in want] and {x[1] for x in want} >= {1, 2, 3, 49}
+    assert sum(seen) < 3 * len(want)
+
+
 def test_suffix_array():
     rng = random.Random(9)
     held, rows = ngramlm.Corpus(), []
