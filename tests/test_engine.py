@@ -144,6 +144,16 @@ def test_geo(spark):
     assert [r["_id"] for r in got] == [1, 2] and got[0]["distance"] == 0.0 and got[1]["distance"] == pytest.approx(5_533_000, rel=0.01)
 
 
+def test_near_sorted_breaks_ties_by_key(spark, tmp_path):
+    # Keys 612,000 apart have the same point: 20 places, each of them twice, the greater keys first.
+    keys = [k + 612_000 for k in range(30)] + list(range(30))
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = [r["c_custkey"] for r in __spark_entry__.queries()["geo_near_sorted"](spark, str(tmp_path)).collect()]
+    assert len(got) == 20 and [k + 612_000 for k in got[::2]] == got[1::2] and all(k < 30 for k in got[::2])
+    df = spark.createDataFrame([(k, [1.0, 2.0]) for k in (3, 1, None, 2)], "_id int, p array<double>").coalesce(1)
+    assert [r["_id"] for r in geo.near_sorted(df, "p", 0.0, 0.0).collect()] == [1, 2, 3, None]
+
+
 def test_variant(spark):
     rows = ["{}", '{"x":null}', '{"x":3}', '{"x":2.5}', '{"x":"a"}', '{"x":{"k":1}}', '{"x":[1]}', '{"x":{"$oid":"00"}}', '{"x":true}', '{"x":{"$date":"2020"}}']
     df = variant.parse(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "_id int, j string"), "j")
