@@ -300,6 +300,66 @@ def test_bson_splits_and_damage(spark, tmp_path):
         backup.read(spark, str(tmp_path / "bad"), got.schema).collect()
 
 
+PLAIN = "k long, b byte, d double, f float, s string, x binary, t timestamp, z timestamp_ntz, ok boolean"
+
+
+def _plain_rows():
+    when = dt.datetime(1969, 12, 31, 23, 59, 59, 999_999, dt.timezone.utc)
+    keys = [*range(50), 2**31 - 1, 2**31, -(2**31), -(2**31) - 1, 2**62]
+    rows = [(k, i, k / 7, i / 2, "é\0🙂" * (i % 5), bytes([i]) * (i % 3), when + dt.timedelta(hours=i), dt.datetime(2020, 1, 1, 0, 0, 0, i), i % 2 == 0) for i, k in enumerate(keys)]
+    return rows + [tuple(None if i % (j + 2) == 0 else v for j, v in enumerate(rows[i])) for i in range(40)] + [(None,) * 9]
+
+
+def _batches(rows, schema, size):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], to_arrow_schema(schema)).to_batches(size)
+
+
+def test_bson_by_columns(spark, tmp_path, monkeypatch):
+    rows, schema = [tuple(r) for r in _plain_rows()], spark.createDataFrame([], PLAIN).schema
+    want = [bson.encode({n: v for n, v in zip(schema.names, r) if v is not None}) for r in rows]
+    docs = [bson.decode(d) for d in want]
+    path = tmp_path / "plain.bson"
+    path.write_bytes(b"".join(want))
+    # Plain columns are made of many documents at once: not one goes through the codec for single ones.
+    for name in ("encode", "decode"):
+        monkeypatch.setattr(bson, name, lambda _: pytest.fail("one by one"))
+    writer = bson.BsonSource({"path": str(tmp_path)}).writer(schema, True)
+    for size in (1, 7, 1000):
+        assert b"".join(map(bytes, writer._encoded(_batches(rows, schema, size)))) == b"".join(want)
+    monkeypatch.setattr(bson, "BATCH_BYTES", 300)
+    assert b"".join(map(bytes, writer._encoded(_batches(rows, schema, 1000)))) == b"".join(want)
+    for most in (1, 300, 1 << 20):
+        monkeypatch.setattr(bson, "BATCH_BYTES", most)
+        got = [r for b in bson.BsonReader(schema, {"path": str(path)}).read(bson._Part(str(path), 0, None)) for r in b.to_pylist()]
+        assert got == [{n: bson._fit(d.get(n), schema[n].dataType) for n in schema.names} for d in docs]
+
+
+def test_bson_odd_documents_among_plain_ones(spark, tmp_path):
+    plain = [{"k": i, "s": "x" * i} for i in range(5)]
+    odd = [{"s": "order", "k": 7}, {"k": 8, "more": [1], "s": "y"}, {"k": 9.0, "s": 1}, {"k": 2**40}, {"k": None, "s": None}, {"k": "no", "s": {"a": 1}}, {"k": 1, "s": bson.ObjectId(bytes(12))}, {}]
+    want = [(i, "x" * i) for i in range(5)] + [(7, "order"), (8, "y"), (9, "1"), (2**40, None), (None, None), (None, '{"a": 1}'), (1, "00" * 12), (None, None)]
+    raws = [bson.encode(d) for d in plain + odd]
+    twice = bson.encode({"k": 1, "z": 5, "s": "t"}).replace(b"\x10z\0", b"\x10k\0")  # the last of a repeated field counts
+    text = bytearray(bson.encode({"k": 3, "s": "ab"}))
+    text[-3] = 0xFF  # no UTF-8
+    short = bytearray(bson.encode({"k": 4, "s": "ab"}))
+    short[-8:-4] = b"\x10\0\0\0"  # a text longer than its document
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "a.bson").write_bytes(b"".join([*raws, twice, *raws]))
+    schema = spark.createDataFrame([], "k long, s string").schema
+    read = lambda name, lenient=False: [tuple(r) for r in backup.read(spark, str(tmp_path / name), schema, lenient=lenient).collect()]
+    assert read("a") == want + [(5, "t")] + want
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.bson").write_bytes(b"".join([raws[1], bytes(text), raws[0], raws[2]]))
+    assert read("b", True) == [want[1], want[0], want[2]]
+    with pytest.raises(Exception):
+        read("b")
+    assert bson._fast_arrays([bytes(short), raws[0]], schema, __import__("pyspark.sql.pandas.types", fromlist=["x"]).to_arrow_schema(schema))[0].tolist() == [False, True]
+
+
 def test_bucket(spark, tmp_path):
     b = gridfs.Bucket(Engine(spark, str(tmp_path)).database("shop"), chunk_size=5)
     data = bytes(range(23))
