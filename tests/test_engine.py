@@ -300,6 +300,19 @@ def test_bson_splits_and_damage(spark, tmp_path):
         backup.read(spark, str(tmp_path / "bad"), got.schema).collect()
 
 
+def test_restore_with_repeated_increments(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "_id int, s string")
+    log = spark.createDataFrame([(5, 1, "u", "d.a", "1", '{"_id":1,"s":"x"}', None, 0), (5, 2, "d", "d.a", "2", "{}", None, 0), (5, 3, "u", "d.a", "1", '{"_id":1,"s":"y"}', None, 0), (6, 1, "i", "d.a", "9", '{"_id":9,"s":"n"}', None, 0), (6, 2, "i", "d.b", "3", '{"_id":3,"s":"other"}', None, 0)], oplog.SCHEMA)
+    got = backup.restore(base, [log, log, backup.increment(log, 5), log], "d.a")
+    assert values(got, "_id", "s") == [(1, "y"), (3, "c"), (9, "n")]
+    # A backup's entries are read by columns, whatever is null in them.
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    docs = [bson.encode({n: v for n, v in zip(oplog.SCHEMA.names, r) if v is not None}) for r in log.collect()]
+    good, columns = bson._fast_arrays(docs, oplog.SCHEMA, to_arrow_schema(oplog.SCHEMA))
+    assert good.all() and list(zip(*(c.to_pylist() for c in columns))) == [tuple(r) for r in log.collect()]
+
+
 PLAIN = "k long, b byte, d double, f float, s string, x binary, t timestamp, z timestamp_ntz, ok boolean"
 
 
