@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from tests.conftest import values
 from vellum.errors import SpecError
 from vellum.operators.find import count, distinct, find
 
@@ -115,6 +116,24 @@ def test_text(spark):
     assert ids(df, {"$text": {"$search": "the of"}}) == [1, 2, 3]
 
 
+def test_text_stems_few_words(spark, monkeypatch):
+    import pyarrow as pa
+
+    from vellum.functions import text
+
+    df = spark.createDataFrame([(1, "The eyed FROM from fresh errs er " + "other words " * 50), (2, "eyes from er"), (3, None), (4, "from"), (5, "ers froms")], "_id int, s string")
+    assert values(find(df, {"$text": {"$search": "that from er"}}), "_id") == [(1,), (2,), (5,)]
+    assert values(find(df, {"$text": {"$search": "ei"}}), "_id") == [(1,)]  # the stem of eyed, which doesn't hold it
+    seen = []
+    monkeypatch.setattr(text, "porter_stems", lambda words: seen.append(words) or words)
+    find(df, {"$text": {"$search": "that from er"}})
+    # Only words that can have a wanted stem go to Python, each of them once a text.
+    assert [r[0] for r in df.filter("_id < 4").orderBy("_id").select(seen[0]).collect()] == [["from", "fresh", "errs", "er"], ["from", "er"], []]
+    words = pa.array([["zz"], ["cats", None, "cats"], None, [], ["ponies"]], pa.list_(pa.string()))
+    assert text._porter_all.func(words.slice(1)).to_pylist() == [["cat", None, "cat"], None, [], ["poni"]]
+    assert text._porter_all.func(words.slice(0, 0)).to_pylist() == []
+
+
 def test_find_order_and_projection(missing, arrays):
     assert [r[0] for r in find(missing, sort={"a": 1}).collect()] == [2, 3, 4, 1]
     assert [r[0] for r in find(missing, sort={"a": -1}).collect()] == [1, 4, 3, 2]
